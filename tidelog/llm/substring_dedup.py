@@ -151,7 +151,9 @@ def _by_range(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(values: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, start, end) of the runs of a sorted array."""
-    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    if not len(values):
+        return []
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     return list(zip(values[at].tolist(), at.tolist(), [*at[1:].tolist(), len(values)], strict=True))
 
 
@@ -183,7 +185,7 @@ def _later_places(table: pa.Table) -> pa.Table:
         owner = np.repeat(np.arange(len(rows)), [len(_unpack(r["second"], "<u4")) for r in rows])
         order = np.lexsort((place, doc, second, key))
         key, second = key[order], second[order]
-        later = np.r_[False, (key[1:] == key[:-1]) & (second[1:] == second[:-1])]
+        later = np.r_[False, (key[1:] == key[:-1]) & (second[1:] == second[:-1])][: len(key)]
         found = order[later]
         found = found[np.lexsort((place[found], owner[found]))]
         for k, start, end in _runs(owner[found]):
