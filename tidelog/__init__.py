@@ -1,0 +1 @@
+"""tidelog: container-log analytics on PySpark DataFrames."""
