@@ -63,7 +63,7 @@ def matches(lines: DataFrame, bound: DataFrame) -> DataFrame:
 def due(interval_s: Column, export_time: Column, now: Column) -> Column:
     """An interval has passed since the whole second of the last export."""
     last = to_micros(F.date_trunc("second", export_time))
-    return interval_s * _SECOND <= to_micros(now) - last
+    return interval_s.cast("long") * _SECOND <= to_micros(now) - last
 
 
 def export_range(log_time: Column, now: Column, max_lookback_s: int = MAX_LOOKBACK_S) -> tuple[Column, Column]:
@@ -74,10 +74,11 @@ def export_range(log_time: Column, now: Column, max_lookback_s: int = MAX_LOOKBA
 
 def first_receipt(interval_s: Column, now: Column, max_lookback_s: int = MAX_LOOKBACK_S) -> dict[str, Column]:
     """What stands in for the receipt of an order that was never exported."""
-    lookback = F.least(3 * interval_s, F.lit(max_lookback_s))
+    interval_s = interval_s.cast("long")
+    lookback = F.least(3 * interval_s, F.lit(max_lookback_s).cast("long"))
     return {"export_time": from_micros(to_micros(now) - interval_s * _SECOND), "log_time": from_micros(to_micros(now) - lookback * _SECOND)}
 
 
 def stale_receipts(receipts: DataFrame, now: Column) -> DataFrame:
     """Receipts of orders that missed three intervals."""
-    return receipts.where(to_micros(now) - to_micros(F.col("export_time")) > 3 * F.col("export_interval") * _SECOND)
+    return receipts.where(to_micros(now) - to_micros(F.col("export_time")) > 3 * F.col("export_interval").cast("long") * _SECOND)

@@ -379,7 +379,7 @@ def parse_json(spark, d):
 _OFFSETS = [("Z", 0), ("+09:00", 540), ("-09:00", -540), ("+0900", 540), ("+07:30", 450), ("-07:30", -450), ("+10:00", 600), ("-10:00", -600), ("+05:30", 330), ("-03:30", -210)]
 
 
-@query("SELECT event_id, z, epoch_us(ts) // 1000 * 1000 - m * 60000000 AS us FROM events, (VALUES " + ", ".join(f"('{z}', {m})" for z, m in _OFFSETS) + ") v(z, m)", plain=True)
+@query("SELECT event_id, z, epoch_us(ts) // 1000 * 1000 - CAST(m AS BIGINT) * 60000000 AS us FROM events, (VALUES " + ", ".join(f"('{z}', {m})" for z, m in _OFFSETS) + ") v(z, m)", plain=True)
 def parse_offsets(spark, d):
     """Zones in all their spellings (PRS-02)."""
     e = spark.read.parquet(f"{d}/events.parquet")
