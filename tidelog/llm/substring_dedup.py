@@ -278,7 +278,6 @@ rep AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER B
 hit AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS p FROM rep),
 gone AS (SELECT r, list(p) AS ps FROM hit GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(CAST(len(gone.ps) AS BIGINT), 0) AS n_removed,
-       sha256(array_to_string(CASE WHEN gone.ps IS NULL THEN d.w ELSE
-              [x.w FOR x IN list_filter(list_transform(d.w, (v, k) -> {'w': v, 'k': k}), y -> NOT list_contains(gone.ps, y.k))] END, ' ')) AS kept_sha256
+       sha256(array_to_string(CASE WHEN gone.ps IS NULL THEN d.w ELSE list_filter(d.w, lambda v, k: NOT list_contains(gone.ps, k)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN gone USING (r)
 """
