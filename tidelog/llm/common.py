@@ -69,7 +69,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(tempfile.gettempdir(), f"tidelog-{os.getpid()}")
+    folder = os.path.join(tempfile.gettempdir(), f"tidelog-{os.getpid()}")
+    if not os.path.isdir(folder):
+        os.makedirs(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
