@@ -57,3 +57,38 @@ def test_files(spark, tmp_path):
     assert {(r["pod"], r["container"], r["source_path"]) for r in named.collect()} == {("web-1-x", "app", ""), ("web-1-x", "__emptydir__", "_x.log")}
     pod = spark.createDataFrame([("/var/log/pods/ns_pod-1_uid/app/3.log",)], "p string").select(*[c.alias(k) for k, c in files.pod_file(F.col("p")).items()]).first()
     assert tuple(pod) == ("ns", "pod-1", "uid", "app", 3)
+
+
+def test_which_files_are_read(spark):
+    import datetime as dt
+
+    from tidelog.functions.timing import at
+
+    now = dt.datetime(2024, 1, 10)
+    rows = [("a", 1, now - dt.timedelta(days=7)), ("a", 2, now - dt.timedelta(days=1)), ("a", 3, now - dt.timedelta(seconds=2)), ("b", 1, now - dt.timedelta(seconds=9))]
+    df = spark.createDataFrame(rows, "id string, file_num long, modified timestamp_ntz")
+    pick = lambda found: sorted((r["id"], r["file_num"]) for r in found.collect())
+    assert pick(files.fresh_files(df, at(now))) == [("a", 2), ("a", 3), ("b", 1)]
+    assert pick(files.active_files(df, at(now))) == [("a", 3)]
+    seen = spark.createDataFrame([("a", 2, 100)], "id string, file_num long, offset long")
+    assert pick(files.new_rotations(df, seen)) == [("a", 3), ("b", 1)]
+
+
+def test_labels_of_live_pods(spark):
+    chunks = spark.createDataFrame([("u1", {"a": "old"}), ("u2", {"a": "old"})], "pod_uid string, labels map<string,string>")
+    pods = spark.createDataFrame([("u1", '{"a": "new"}')], "pod_uid string, text string").select("pod_uid", files.parse_labels(F.col("text")).alias("labels"))
+    got = {r["pod_uid"]: (r["labels"], r["pod_deleted"]) for r in files.refresh_labels(chunks, pods).collect()}
+    assert got == {"u1": ({"a": "new"}, False), "u2": ({"a": "old"}, True)}
+
+
+def test_quota_marker(spark):
+    from tidelog.functions.timing import at
+    from tidelog.operators import retention
+
+    df = spark.createDataFrame([("k", n, 100) for n in range(6)], "chunk_key string, offset long, msg_bytes long")
+    df = df.withColumns({"ts": at("2024-01-01T00:00:00"), "ts_ns": F.lit(1_704_067_200_000_000_000)})
+    admitted = retention.admit(df, (150, 250), 5)
+    assert [r["admitted"] for r in admitted.orderBy("offset").collect()] == [True, True, True, False, False, False]
+    assert [r["message"] for r in retention.quota_markers(admitted).collect()] == ["2024-01-01T00:00:00Z stdout F (tidelog: Logs exceeding Size limit(250 bytes) reached were limited)\n"]
+    by_lines = retention.admit(df, (10_000,), 4)
+    assert [r["overloads"] for r in retention.overloads(by_lines).collect()] == [1]

@@ -124,8 +124,11 @@ class Request:
                 raise BadRequest(f"{expr!r}: {e}") from e
         return self
 
-    def condition(self) -> Column:
-        """Streams that are selected."""
+    def condition(self, compat: bool = False) -> Column:
+        """Streams that are selected. ``compat``: without a namespace the other selectors are
+        ignored, as older queriers did."""
+        if compat and not self.namespaces:
+            return selects()
         return selects(self.clusters, self.namespaces, self.set_names, self.pods, self.containers, self.sources, self.labels)
 
     def with_page(self, page: int) -> Request:
