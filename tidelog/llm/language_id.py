@@ -28,6 +28,7 @@ from tidelog.llm.common import as_text, id_text, remainder, slices
 
 HELD_OUT, FOLDS = 1, 3
 PER_LANGUAGE, LANGUAGES = 1000, 200
+SHARES = 64
 BITS = 15
 SIZE = 1 << BITS
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 3
@@ -136,8 +137,12 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
     idf = np.log((1 + total) / (1 + df)) + 1
 
     frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(4)), "doc_id"))
-    keys = usable.select("doc_id", "lang").join(F.broadcast(frequent), "lang").withColumn("rank", rank).where(F.col("rank") <= per_language)
+    # Ranked within shares of a language first, so that a frequent one isn't one task's load.
+    keys = usable.select("doc_id", "lang").join(F.broadcast(frequent), "lang").withColumn("hash", F.xxhash64(F.col("doc_id"), F.lit(4)))
+    keys = keys.withColumn("share", F.pmod(F.col("hash"), F.lit(SHARES)))
+    for by in (["lang", "share"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))
+        keys = keys.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
     # At most per_language * languages ids.
     chosen = F.broadcast(keys.select("doc_id", "lang").distinct())
 
