@@ -6,9 +6,10 @@ a text has as many pieces as its pre-tokens have together.
 
 1. The scan makes blocks of a few MB of texts. A block has its distinct pre-tokens, numbered, and
    for each text their frequencies.
-2. Distinct pre-tokens of the corpus are counted by the library, each once, and joined back to
-   the blocks that have them.
-3. Each block adds up frequency times count by text. Ids are never made.
+2. Pre-tokens of all blocks are sorted together, so that the library counts each distinct one
+   once, for all blocks that have it.
+3. Counts and frequencies are joined by block and number, and added up by text. Ids are never
+   made.
 
 What moves is one row for each pre-token of a block (a word that every text has is one row per
 block, so no key is hot) and a block's frequencies as one row of bounded size; texts don't move.
@@ -37,7 +38,7 @@ from tidelog.llm.common import as_text, id_text, slices
 
 LIMIT = 4096
 #: Bytes of text in a block, about.
-BLOCK = 24 << 20
+BLOCK = 32 << 20
 #: Spaces (the vocabulary writes one as U+2581) and line feeds start a pre-token.
 _SPACE = "▁"
 _PRE_TOKEN = re.compile(f"[ {_SPACE}]+[^ {_SPACE}\n]*|\n+[^ {_SPACE}\n]*|[^ {_SPACE}\n]+")
@@ -130,14 +131,19 @@ def _frequencies(batches, size: int):
         # By token, then text: steps between neighbours are small.
         order = np.argsort(token, kind="stable")
         text_of, token, times = text_of[order], token[order], times[order]
-        steps = np.diff(text_of, prepend=np.int32(0)).astype("<i4").tobytes()
-        per_token = np.bincount(token, minlength=len(numbers)).astype("<i4").tobytes()
-        packed = [packer.compress(np.frombuffer(x, np.uint8).reshape(-1, 4).T.tobytes()) for x in (steps, per_token, times.astype("<i4").tobytes())]
+        steps = np.diff(text_of, prepend=np.int32(0))
+        per_token = np.bincount(token, minlength=len(numbers))
+        packed = [_pack(packer, x) for x in (steps, per_token, times)]
         columns = [[name], [ids], [n_bytes], *([p] for p in packed)]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["block", "ids", "n_bytes", "steps", "per_token", "times"])
 
 
+def _pack(packer: zstandard.ZstdCompressor, values: np.ndarray) -> bytes:
+    """Bytes of the same weight side by side compress best."""
+    return packer.compress(np.frombuffer(values.astype("<i4").tobytes(), np.uint8).reshape(-1, 4).T.tobytes())
+
+
 def _unpack(data: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(data)
     return np.frombuffer(np.frombuffer(raw, np.uint8).reshape(4, -1).T.tobytes(), "<i4") if raw else np.zeros(0, np.int32)
@@ -149,9 +155,10 @@ def _add_up(texts: pa.Table, counts: pa.Table) -> pa.Table:
     row = texts.to_pylist()[0]
     per_token, times, text_of = _unpack(row["per_token"]), _unpack(row["times"]), np.cumsum(_unpack(row["steps"]))
     pieces = np.zeros(len(per_token), np.int64)
-    if counts.num_rows != len(pieces):
+    number, found = (np.concatenate([np.zeros(0, np.int32), *map(_unpack, counts.column(c).to_pylist())]) for c in ("numbers", "pieces"))
+    if len(number) != len(pieces):
         raise RuntimeError("a block changed between two reads: write or checkpoint the input first")
-    pieces[counts.column("number").to_numpy()] = counts.column("pieces").to_numpy()
+    pieces[number] = found
     sums = np.zeros(len(row["ids"]), np.int64)
     np.add.at(sums, text_of, times * np.repeat(pieces, per_token))
     return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_bytes": pa.array(row["n_bytes"], pa.int64()), "n_tokens": sums})
@@ -162,16 +169,24 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, block: int = BL
     rows = id_text(docs)
 
     def count(batches):
-        own = counter(path)
-        for batch in batches:
+        own, packer, carried = counter(path), zstandard.ZstdCompressor(level=3), ("", 0)
+        for batch in (b for b in batches if b.num_rows):
             tokens = as_text(batch.column("token"))
-            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(own.count(tokens), pa.int32())], ["piece_of", "pieces"])
-
-    dealt = rows.mapInArrow(lambda b: _vocabulary(b, block), "block long, number int, token string").repartition("token")
-    # Made of all three columns, so that the exchange is the same one that the join reads.
-    distinct = dealt.groupBy("token").agg(F.count("block").alias("n_blocks"), F.max("number").alias("last"))
-    counts = distinct.mapInArrow(count, "piece_of string, pieces int")
-    counted = dealt.join(counts, dealt["token"] == counts["piece_of"]).select("block", "number", "pieces")
+            new = [t for t in dict.fromkeys(tokens) if t != carried[0]]
+            known = dict(zip(new, own.count(new), strict=True)) | dict([carried])
+            carried = (tokens[-1], known[tokens[-1]])
+            pieces = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+            block, number = batch.column("block").to_numpy(), batch.column("number").to_numpy()
+            order = np.lexsort((number, block))
+            block, number, pieces = block[order], number[order], pieces[order]
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            ends = np.r_[starts[1:], len(block)]
+            packed = [[_pack(packer, c[a:b]) for a, b in zip(starts, ends, strict=True)] for c in (number, pieces)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), *(pa.array(c, pa.binary()) for c in packed)], ["block", "numbers", "pieces"])
+
+    # Sorted, so that equal pre-tokens of all blocks stand together: each is counted once.
+    dealt = rows.mapInArrow(lambda b: _vocabulary(b, block), "block long, number int, token string").repartition("token").sortWithinPartitions("token")
+    counted = dealt.mapInArrow(count, "block long, numbers binary, pieces binary")
     texts = rows.mapInArrow(lambda b: _frequencies(b, block), "block long, ids array<long>, n_bytes array<long>, steps binary, per_token binary, times binary")
     summed = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_add_up, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)
