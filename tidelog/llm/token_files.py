@@ -15,6 +15,7 @@ rows; other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import as_bytes, id_text, shared_dir, slices
 
 #: Tokens of a shard (the document that crosses the line is its last).
-SHARD = 1 << 21
+SHARD = 1 << 18
 END = 2
 #: Words that a worker remembers with their ids; then it starts anew.
 CACHE = 600_000
 _MAGIC, _BLOCK = b"WVM1", 512
 _HEAD = struct.Struct("<4sBqq")
+#: A word that ends in punctuation without apostrophes, after a letter or digit.
+_ENDED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
 
 class WaveletMatrix:
@@ -46,16 +49,19 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> WaveletMatrix:
-        planes, zeros, ranks = [], [], []
+        planes, zeros, ranks, n = [], [], [], len(ids)
         for level in range(width):
-            ones = (ids >> (width - 1 - level)) & 1 == 1
+            ones = (ids & ids.dtype.type(1 << (width - 1 - level))).astype(bool)
             planes.append(np.packbits(ones))
-            zeros.append(len(ids) - int(np.count_nonzero(ones)))
-            starts = np.arange(0, len(ids), _BLOCK)
-            per_block = np.add.reduceat(ones, starts, dtype=np.int64) if len(ids) else np.zeros(0, np.int64)
+            padded = np.concatenate((planes[-1], np.zeros(-len(planes[-1]) % (_BLOCK // 8), np.uint8)))
+            per_block = np.bitwise_count(padded).reshape(-1, _BLOCK // 8).sum(axis=1, dtype=np.int64)
             ranks.append(np.concatenate(([0], np.cumsum(per_block))).astype("<u4"))
-            ids = np.concatenate((ids[~ones], ids[ones]))
-        return cls(len(ids), planes, zeros, ranks)
+            zeros.append(n - int(ranks[-1][-1]))
+            below = np.empty_like(ids)
+            np.compress(~ones, ids, out=below[: zeros[-1]])
+            np.compress(ones, ids, out=below[zeros[-1] :])
+            ids = below
+        return cls(n, planes, zeros, ranks)
 
     def to_bytes(self) -> bytes:
         zeros = np.array(self.zeros, dtype="<i8").tobytes()
@@ -138,10 +144,10 @@ class WaveletMatrix:
         """All tokens: the planes' stable partitions undone, from the last to the first."""
         out = np.zeros(self.n, dtype=np.uint32 if self.width > 16 else np.uint16)
         for level in range(self.width - 1, -1, -1):
-            ones = np.unpackbits(self.planes[level], count=self.n).astype(bool)
+            ones, zeros = np.unpackbits(self.planes[level], count=self.n).view(bool), self.zeros[level]
+            out[zeros:] |= out.dtype.type(1 << (self.width - 1 - level))
             above = np.empty_like(out)
-            above[~ones] = out[: self.zeros[level]]
-            above[ones] = out[self.zeros[level] :] | out.dtype.type(1 << (self.width - 1 - level))
+            above[np.flatnonzero(~ones)], above[np.flatnonzero(ones)] = out[:zeros], out[zeros:]
             out = above
         return out
 
@@ -175,7 +181,10 @@ class WordEncoder:
     """The tokenizers library, asked once for each word between ASCII white space.
 
     No pre-token of the vocabulary's pattern spans white space, so the words' ids one after
-    another are the text's.
+    another are the text's. Words are asked for in lower case and without punctuation at their end
+    (a pre-token of its own, if it follows a letter or digit and has no apostrophe), but for those
+    that may hold a special token. Words of Latin letters only are one pre-token each and are
+    asked for together: an id that ends a pre-token ends a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -185,17 +194,45 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
-        self._known: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(1 << self.width, dtype=bool)
+        if suffix:
+            self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self._words: dict[bytes, bytes] = {}
+        self._cores: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
         words = text.split()
-        if len(self._known) > CACHE:
-            self._known.clear()
-        new = list(set(words).difference(self._known))
-        if new:
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self._known.update(zip(new, (np.array(c.ids, dtype=self.dtype).tobytes() for c in coded), strict=True))
-        return b"".join(map(self._known.__getitem__, words))
+        if len(self._words) > CACHE:
+            self._words.clear()
+            self._cores.clear()
+        found = list(map(self._words.get, words))
+        if new := [k for k, ids in enumerate(found) if ids is None]:
+            self._learn(list({words[k] for k in new}))
+            for k in new:
+                found[k] = self._words[words[k]]
+        return b"".join(found)
+
+    def _learn(self, words: list[bytes]) -> None:
+        cut = []
+        for word in words:
+            if b"<|" in word:
+                cut.append((word,))
+            else:
+                m = _ENDED.fullmatch(word := word.lower())
+                cut.append(m.groups() if m else (word,))
+        cores = list({c for parts in cut for c in parts}.difference(self._cores))
+        plain = [c for c in cores if (t := c.decode("utf-8", "replace")).isalpha() and max(t) < "\u0250"]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
+            if len(ends) == len(plain):
+                raw = ids.tobytes()
+                self._cores.update(zip(plain, (raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+        rest = [c for c in cores if c not in self._cores]
+        coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
+        self._cores.update(zip(rest, (np.array(c.ids, dtype=self.dtype).tobytes() for c in coded), strict=True))
+        self._words.update(zip(words, (b"".join(map(self._cores.__getitem__, parts)) for parts in cut), strict=True))
 
 
 @cache
