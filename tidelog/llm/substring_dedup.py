@@ -26,7 +26,7 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ WIDTH, ANCHOR, PERIOD, COVER = 20, 8, 13, (0, 1, 3, 9)
 BLOCK, RANGE = 4 << 20, 1 << 20
 #: Words whose hashes a worker remembers; then it starts anew.
 CACHE = 600_000
+_IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _LAST = np.iinfo(np.int64).max
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 _INVERSE = np.array([pow(int(x), -1, 2**64) for x in _ODD], dtype=np.uint64)
@@ -69,6 +70,12 @@ class WordHashes(dict):
         return self.table[at]
 
 
+@cache
+def word_hashes() -> WordHashes:
+    """One for each Python worker."""
+    return WordHashes()
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     if n:
@@ -103,7 +110,7 @@ class Block:
                 continue
             all_ = rolled(self.known.of(words), ANCHOR, 0)
             at = np.arange(len(all_))
-            at = at[np.isin(at % PERIOD, COVER)]
+            at = at[_IN_COVER[at % PERIOD]]
             hashes.append(all_[at])
             places.append(start + at)
         return np.concatenate(hashes), np.concatenate(places)
@@ -203,14 +210,14 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK, range_size: int =
     texts = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
 
     def send_anchors(key, table):
-        block, number = Block(table, WordHashes()), key[0].as_py()
+        block, number = Block(table, word_hashes()), key[0].as_py()
         hashes, _ = block.anchors()
         ranges, short = _by_range(np.unique(hashes), anchor_bits)
         parts = [(r, _pack(np.unique(short[a:b]))) for r, a, b in _runs(ranges)]
         return _table([[r for r, _ in parts], [number] * len(parts), [p for _, p in parts]], _ANCHORS)
 
     def send_windows(key, table, shared):
-        block, number = Block(table, WordHashes()), key[0].as_py()
+        block, number = Block(table, word_hashes()), key[0].as_py()
         hashes, places = block.anchors()
         ranges, short = _by_range(hashes, anchor_bits)
         code = ranges.astype(np.uint64) << np.uint64(32) | short.astype(np.uint64)
