@@ -14,15 +14,19 @@ from tidelog.llm.common import checkpointed
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v) with u > v. Each node ties its larger (or smaller) neighbours to its minimum."""
+    """edges (u, v) with u > v. Each node ties its larger (or smaller) neighbours to its minimum.
+
+    The minima are a table of their own, so that Spark may split a hub's edges in the join.
+    """
+    if large:
+        edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    tied = edges.join(least, "u")
     if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        tied = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        tied = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        tied = edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-    return tied.where("u <> v").distinct()
+        tied = tied.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+    return checkpointed(tied.where("u <> v").distinct())
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -30,7 +34,7 @@ def connected(edges: DataFrame) -> DataFrame:
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
-        now = checkpointed(_star(_star(now, large=True), large=False))
+        now = _star(_star(now, large=True), large=False)
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             break

@@ -243,13 +243,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     fps = checkpointed(fingerprints(docs))
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = checkpointed(connected(checkpointed(near_links(fps))))
-    linked = roots.join(least, roots["node"] == least["fp"]).select("node", "root", "first_id")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Both sides of a join by a key that may be hot are tables, so that Spark may split that key.
+    linked = checkpointed(roots.join(least, roots["node"] == least["fp"]).select("node", "root", "first_id"))
+    smallest = checkpointed(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
     of_linked = linked.join(smallest, "root").select("node", "root", "component_id")
-    every = least.join(of_linked, least["fp"] == of_linked["node"], "left").select(
-        F.col("fp").alias("key"),
-        F.coalesce("root", "fp").alias("root"),
-        F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
+    every = checkpointed(
+        least.join(of_linked, least["fp"] == of_linked["node"], "left").select(
+            F.col("fp").alias("key"),
+            F.coalesce("root", "fp").alias("root"),
+            F.when(F.col("node").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
+        )
     )
     return fps.join(every, fps["fp"] == every["key"]).select("doc_id", "fp", "component_id", "root", "text_key")
 
