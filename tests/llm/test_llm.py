@@ -426,6 +426,15 @@ def test_chunks_are_stitched(reference_codec):
     assert regex.compile(public_tokenizers.PATTERN)
 
 
+def test_characters_that_the_library_does_not_know(reference_codec):
+    path, encoding = reference_codec
+    coder = byte_bpe.codec(path, public_tokenizers.PATTERN)
+    rng, parts = random.Random(5), ["a", "'s", " ", "!", "1", "é", "\U00010ec6", "\U00010ee1", "\u2028", "\x1d", *sorted(coder.newer)[:3]]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert np.frombuffer(coder.encode(text), "<u4").tolist() == encoding.encode_ordinary(text)
+
+
 # 10
 
 

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+import unicodedata
 from functools import cache
 from typing import NamedTuple
 
@@ -39,6 +41,8 @@ CACHE = 400_000
 #: A pre-token is decided by what stands up to this far from its start (contractions) or its end.
 _AHEAD_START, _AHEAD_END = 3, 1
 _SCHEMA = "doc_id long, n_tokens long, ids binary"
+#: Neither letter, digit nor white space in any version of Unicode.
+_STAND_IN = "\ue000"
 
 
 class Codec:
@@ -51,6 +55,16 @@ class Codec:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {i: b for b, i in ranks.items()}
         self._known: dict[str, bytes] = {}
+        self.newer = self._newer()
+
+    def _newer(self) -> frozenset[str]:
+        """Letters and digits that only this side's later version of Unicode knows.
+
+        The library shows what it takes a character for by where it cuts a contraction after it.
+        """
+        unassigned = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+        after_letter = self.encoding.encode_ordinary("a's")[1:]
+        return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", unassigned) if self.encoding.encode_ordinary(f"{c}'s")[-len(after_letter) :] != after_letter)
 
     def ids(self, piece: str) -> bytes:
         """Ids of a pre-token as little-endian unsigned 32-bit integers."""
@@ -64,7 +78,11 @@ class Codec:
         return found
 
     def pieces(self, text: str) -> list[str]:
-        return self.pattern.findall(text)
+        if text.isascii() or self.newer.isdisjoint(text):
+            return self.pattern.findall(text)
+        plain = "".join(_STAND_IN if c in self.newer else c for c in text)
+        ends = [m.end() for m in self.pattern.finditer(plain)]
+        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.ids, self.pieces(text)))
