@@ -12,7 +12,8 @@ documented bound. Prediction covers all rows and whole texts in one scan without
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if
 there is nothing to learn from; a null doc_id is neither learned from nor held out; repeated rows
-each give a row; ties go to the language that sorts first; other columns are not read.
+each give a row, and one of them is learned from; ties go to the language that sorts first; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -153,7 +154,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
                 columns = [pa.array([x.astype("<i4").tobytes() for x in c], pa.binary()) for c in zip(*made, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *columns], ["doc_id", "lang", "at", "times"])
 
-    sample = usable.join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, at binary, times binary").toArrow().to_pylist()
+    made = usable.join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, at binary, times binary")
+    # One row of each id, however often it is repeated.
+    single = made.groupBy("doc_id", "lang").agg(F.min(F.struct("at", "times")).alias("least")).select("doc_id", "lang", "least.*")
+    sample = single.toArrow().to_pylist()
     order = np.random.default_rng(0).permutation(len(sample))
     sample.sort(key=lambda r: (r["doc_id"], r["lang"], r["at"], r["times"]))
     return fit([(np.frombuffer(sample[k]["at"], "<i4"), np.frombuffer(sample[k]["times"], "<i4"), sample[k]["lang"]) for k in order], idf)
