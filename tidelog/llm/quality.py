@@ -15,7 +15,7 @@ covers all rows and whole texts in one scan without a shuffle.
 Defined cases: a null or empty text is one empty line and gets that line's score; repeated labels
 of an id count as their smallest; labels other than 0 and 1, or null, are ignored; a null doc_id
 is never learned from and isn't held out; without any labels every score is 0.5; repeated
-documents each give a row; other columns are not read.
+documents each give a row, and one of them is learned from; other columns are not read.
 """
 
 from __future__ import annotations
@@ -238,18 +238,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     )
     chosen = named.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id").limit(sample)
     # At most ``sample`` rows of two numbers.
-    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "quality")
+    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
 
     def features(batches):
         for batch in batches:
             for part in slices(batch):
                 made = [line_bins(t) for t in as_text(part.column("text"))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b.astype("<i2").tobytes() for b, _ in made], pa.binary()), pa.array([n.astype("<i8").tobytes() for _, n in made], pa.binary()), part.column("quality")],
-                    ["bins", "lengths", "quality"],
+                    [part.column("doc_id"), pa.array([b.astype("<i2").tobytes() for b, _ in made], pa.binary()), pa.array([n.astype("<i8").tobytes() for _, n in made], pa.binary()), part.column("quality")],
+                    ["doc_id", "bins", "lengths", "quality"],
                 )
 
-    got = rows.mapInArrow(features, "bins binary, lengths binary, quality int").toArrow().to_pylist()
+    made = rows.mapInArrow(features, "doc_id long, bins binary, lengths binary, quality int")
+    # One row of each id, however often it is repeated.
+    single = made.groupBy("doc_id").agg(F.min(F.struct("lengths", "bins", "quality")).alias("least")).select("least.*")
+    got = single.toArrow().to_pylist()
     got.sort(key=lambda r: (r["quality"], r["lengths"], r["bins"]))
     width = len(_BINS) + 1
     return fit([(np.frombuffer(r["bins"], "<i2").reshape(-1, width).astype(np.int32), np.frombuffer(r["lengths"], "<i8"), r["quality"]) for r in got])
