@@ -200,6 +200,13 @@ def test_language_id(spark, sf, table, odd, empty):
     assert language_id.digest(empty).count() == 0
 
 
+def test_language_id_learns_once_from_a_repeated_row(table, monkeypatch):
+    monkeypatch.setattr(language_id, "fit", lambda sample, idf: sorted((y, at.tolist()) for at, _, y in sample))
+    some = table.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id < 60")
+    once = language_id.learn(some)
+    assert once and language_id.learn(some.unionByName(some)) == once
+
+
 # 5
 
 
@@ -218,6 +225,8 @@ def test_quality(spark, sf, table, odd, empty):
     assert quality.digest(empty, labels).count() == 0
     kept = quality.drop_rejected(odd, labels)
     assert kept.columns == odd.columns
+    again = quality.learn(table.unionByName(table), labels)
+    assert (again.weights == model.weights).all() and again.slope == model.slope
 
 
 def test_marginals_against_enumeration():
