@@ -128,6 +128,20 @@ def test_tool_arguments(spark):
     assert linked(spark, [call("a", 0, conv=None), call("b", 1, needs=["a"], conv=None)], [(None, "a", 3, "r")])[(None, "a")]["status"] == "linked"
 
 
+def test_repeated_calls_and_results_each_give_a_row(spark):
+    calls = [call("a", 2), call("a", 2), call("a", 6, needs=["gone"]), call("b", 3), call(None, 4), call("c", None), call("c", 5)]
+    results = [(1, "a", 1, "early"), (1, "a", 5, "later"), (1, "a", 4, "right"), (1, "a", 4, "right"), (1, "b", None, "undated"), (1, "b", 9, "dated"), (1, "q", 2, "x"), (1, "q", 2, "x"), (1, None, 3, "lost"), (1, "c", 5, "same")]
+    frames = [spark.createDataFrame(r, s).repartition(3) for r, s in ((calls, tool_calls.CALLS), (results, tool_calls.RESULTS), ([("t", "n", "integer", True, 5.0)], tool_calls.SCHEMAS))]
+    rows = got(tool_calls.link_calls(*frames), "call_id", "turn", "status", "level", "valid", F.array_join("errors", ","), F.get_json_object("message", "$.result"))
+    assert rows == sorted([
+        ("a", 2, "linked", 0, True, "", "right"), ("a", 2, "duplicate_call", None, False, "duplicate_call", None), ("a", 6, "duplicate_call", None, False, "duplicate_call,unknown_dependency:gone", None),
+        ("a", 1, "duplicate_result", None, False, "duplicate_result", None), ("a", 4, "duplicate_result", None, False, "duplicate_result", None), ("a", 5, "duplicate_result", None, False, "duplicate_result", None),
+        ("b", 3, "linked", 0, True, "", "dated"), ("b", None, "duplicate_result", None, False, "duplicate_result", None), (None, 4, "unidentified", None, False, "no_identifier", None),
+        ("c", 5, "result_before_call", 0, True, "", "same"), ("c", None, "duplicate_call", None, False, "duplicate_call", None),
+        ("q", 2, "orphan_result", None, False, "no_call", None), ("q", 2, "orphan_result", None, False, "no_call", None), (None, 3, "unidentified", None, False, "no_identifier", None),
+    ], key=repr)
+
+
 def test_conversations_with_odd_rows(spark):
     rows = [("x", 1, 0, "user", "hi"), ("x", 1, 1, "assistant", None), ("x", 2, 0, None, "?"), ("x", None, 0, "user", None), ("x", 3, None, "user", "t"), ("x", 1, 0, "user", "hi"), ("x", 4, 5, "assistant", "alone")]
     df = spark.createDataFrame(rows, "level string, conv_id long, turn long, role string, text string")

@@ -2,8 +2,9 @@
 
 Native: DataFrame functions only.
 
-* Calls and results are joined by identifier (and conversation). Of several results of a call the
-  earliest counts; a result without a call becomes a row of its own.
+* Calls and results are joined by identifier (and conversation). Of several calls of an identifier
+  the earliest turn's counts, and of several results the earliest after that call, or else the
+  earliest; all others are rows of their own, as is a result without a call.
 * Calls are ordered topologically by what they depend on: ``level`` is the longest way down to a
   call that depends on nothing. Calls with one dependency form trees, which pointer doubling
   folds in a logarithm of their depth, so a conversation that is one long chain takes few rounds;
@@ -12,17 +13,23 @@ Native: DataFrame functions only.
 * The canonical JSON of a call has sorted keys and no white space.
 
 ``(conv_id, level, turn, call_id)`` sorts a conversation topologically; no conversation is
-gathered in one task.
-
-Defined cases: a null or blank identifier is never linked (``unidentified``); repeated calls of an
-identifier count as the earliest turn's; unknown and null dependencies are reported and don't
-order; arguments that are null, not JSON or not an object are an error of their own; a tool
+gathered in one task, and rows of an identifier only meet in joins that Spark may split and in
+aggregates combined on the map side.
+
+Defined cases: a null or blank identifier is never linked (``unidentified``, calls and results);
+later calls of an identifier are ``duplicate_call`` and have no level or result, but are validated;
+results beside the one that counts are ``duplicate_result``; a null turn comes after all others,
+and a result of a null turn, or of a call of a null turn, is after its call; of rows of the same
+turn the least in the order of their other columns counts; unknown and null dependencies are
+reported and don't order; arguments that are null, not JSON or not an object are an error of their own; a tool
 without a schema is ``unknown_tool``; empty tables give an empty result; other columns are not
 read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +44,9 @@ def _known(call_id: Column) -> Column:
     return call_id.isNotNull() & (F.trim(call_id) != "")
 
 
-def first_of_each(rows: DataFrame) -> DataFrame:
-    """Of rows with the same identifier, the one of the earliest turn."""
-    rest = [c for c in rows.columns if c not in ("conv_id", "call_id")]
-    picked = rows.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", *[c for c in rest if c != "turn"])).alias("first"), F.count(F.lit(1)).alias("n"))
-    return picked.select("conv_id", "call_id", "first.*", "n")
+def _least(*columns: str) -> Column:
+    """Of an aggregate's rows, the one of the earliest turn (null is last); ties go by the columns."""
+    return F.min(F.struct(F.col("turn").isNull().alias("no_turn"), "turn", *columns))
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -123,37 +128,49 @@ def canonical(call_id: Column, name: Column, arguments: Column, result: Column)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call and per result without a call: conv_id, call_id, turn, status, level,
-    valid, errors (sorted), message (canonical JSON; null without a call)."""
-    calls, results = calls.select("conv_id", "call_id", "turn", "name", "arguments", "depends_on"), results.select("conv_id", "call_id", "turn", "content")
-    unnamed = calls.where(~_known(F.col("call_id"))).select(
-        "conv_id", "call_id", "turn", F.lit("unidentified").alias("status"), F.lit(None).cast("long").alias("level"), F.lit(False).alias("valid"), F.array(F.lit("no_identifier")).alias("errors"),
-        canonical(F.col("call_id"), F.col("name"), F.col("arguments"), F.lit(None).cast("string")).alias("message"),
-    )
-    key = F.struct("conv_id", "call_id")
-    own = checkpointed(first_of_each(calls.where(_known(F.col("call_id")))).withColumn("k", key))
-    answers = first_of_each(results.where(_known(F.col("call_id")))).select(key.alias("r_k"), F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"), F.col("turn").alias("r_turn"), "content")
-    wants = own.select("k", F.explode("depends_on").alias("needs")).select("k", F.struct("k.conv_id", F.col("needs").alias("call_id")).alias("needs")).distinct()
-    levels = topological_levels(own.select(F.col("k").alias("node")), wants.select(F.col("k").alias("node"), "needs")).select(F.col("node").alias("l_k"), "level")
-    unknown = wants.join(own.select(F.col("k").alias("needs")), "needs", "left_anti").select("k", F.concat(F.lit("unknown_dependency:"), F.coalesce("needs.call_id", F.lit("null"))).alias("error"))
-    errors = argument_errors(own, schemas).unionByName(unknown).groupBy(F.col("k").alias("e_k")).agg(F.array_sort(F.collect_set("error")).alias("errors"))
-    joined = own.join(answers, own["k"] == answers["r_k"], "full_outer")
-    joined = joined.join(errors, joined["k"] == errors["e_k"], "left")
-    joined = joined.join(levels, joined["k"] == levels["l_k"], "left")
-    is_call = F.col("call_id").isNotNull()
-    status = (
-        F.when(~is_call, "orphan_result")
-        .when(F.col("level").isNull(), "cyclic")
-        .when(F.col("r_call").isNull(), "no_result")
-        .when(F.col("r_turn") <= F.col("turn"), "result_before_call")
-        .otherwise("linked")
-    )
-    found = F.when(is_call, F.coalesce("errors", F.array().cast("array<string>"))).otherwise(F.array(F.lit("no_call")))
-    return joined.select(
-        F.when(is_call, F.col("conv_id")).otherwise(F.col("r_conv")).alias("conv_id"), F.coalesce("call_id", "r_call").alias("call_id"), F.when(is_call, F.col("turn")).otherwise(F.col("r_turn")).alias("turn"),
-        status.alias("status"), "level", (is_call & (F.size(found) == 0)).alias("valid"), found.alias("errors"),
-        F.when(is_call, canonical(F.col("call_id"), F.col("name"), F.col("arguments"), F.col("content"))).alias("message"),
-    ).unionByName(unnamed)
+    """One row per call, and one per result that isn't the one of a call: conv_id, call_id, turn,
+    status, level, valid, errors (sorted), message (canonical JSON; null without a call)."""
+    # Checkpoints keep the numbers of rows as they are.
+    calls = checkpointed(calls.select("conv_id", "call_id", "turn", "name", "arguments", "depends_on").withColumn("k", F.monotonically_increasing_id()))
+    results = checkpointed(results.select("conv_id", "call_id", "turn", "content").withColumn("r", F.monotonically_increasing_id()))
+    known, ident = _known(F.col("call_id")), F.struct("conv_id", "call_id").alias("id")
+    named, answers = calls.where(known).select("*", ident), results.where(known).select("*", ident)
+    own = checkpointed(named.groupBy("id").agg(_least("name", "arguments", "depends_on", "k").alias("first")).select("id", "id.*", "first.*"))
+
+    wants = named.select("k", "conv_id", F.explode("depends_on").alias("needs")).select("k", F.struct("conv_id", F.col("needs").alias("call_id")).alias("needs")).distinct()
+    unknown = wants.join(own.select(F.col("id").alias("needs")), "needs", "left_anti").select("k", F.concat(F.lit("unknown_dependency:"), F.coalesce("needs.call_id", F.lit("null"))).alias("error"))
+    errors = checkpointed(argument_errors(named, schemas).unionByName(unknown).groupBy("k").agg(F.collect_set("error").alias("found")))
+    edges = own.select(F.col("id").alias("node"), "conv_id", F.explode("depends_on").alias("needs")).select("node", F.struct("conv_id", F.col("needs").alias("call_id")).alias("needs")).distinct()
+    levels = topological_levels(own.select(F.col("id").alias("node")), edges).select(F.col("node").alias("id"), "level")
+
+    early = F.coalesce(F.col("turn") <= F.col("asked"), F.lit(False)).alias("early")
+    told = answers.join(own.select("id", F.col("turn").alias("asked")), "id").select("id", early, "turn", "content", "r")
+    # Dealt out again, so that the join may be split and the aggregate starts on the map side.
+    told = told.repartition(int(told.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    taken = told.groupBy("id").agg(F.min(F.struct("early", F.col("turn").isNull().alias("no_turn"), "turn", "content", "r")).alias("t"))
+    taken = checkpointed(taken.select("id", "t.early", "t.content", "t.r"))
+
+    errs = lambda *more: F.array_sort(F.concat(F.coalesce("found", F.array().cast("array<string>")), F.array(*map(F.lit, more)).cast("array<string>")))
+
+    def rows(of: DataFrame, status: Column, level: Column, found: Column, message: Column) -> DataFrame:
+        return of.select("conv_id", "call_id", "turn", status.alias("status"), level.cast("long").alias("level"), (F.size(found) == 0).alias("valid"), found.alias("errors"), message.alias("message"))
+
+    none = F.lit(None).cast("string")
+    message = lambda result: canonical(F.col("call_id"), F.col("name"), F.col("arguments"), result)
+    status = F.when(F.col("level").isNull(), "cyclic").when(F.col("r").isNull(), "no_result").when(F.col("early"), "result_before_call").otherwise("linked")
+    counted = own.join(levels, "id", "left").join(taken, "id", "left").join(errors, "k", "left")
+    again = named.join(own.select("k"), "k", "left_anti").join(errors, "k", "left")
+    spare = answers.join(taken.select("r"), "r", "left_anti").join(own.select("id", F.lit(True).alias("called")), "id", "left")
+    unlinked = F.when(F.col("called"), "duplicate_result").otherwise("orphan_result")
+    no_id = F.array(F.lit("no_identifier"))
+    parts = [
+        rows(calls.where(~known), F.lit("unidentified"), none, no_id, message(none)),
+        rows(results.where(~known), F.lit("unidentified"), none, no_id, none),
+        rows(spare, unlinked, none, F.array(F.when(F.col("called"), "duplicate_result").otherwise("no_call")), none),
+        rows(again, F.lit("duplicate_call"), none, errs("duplicate_call"), message(none)),
+        rows(counted, status, F.col("level"), errs(), message(F.col("content"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 #: Tools that the turns of ``conversations`` are read as calls of, and what their arguments may be.
