@@ -47,6 +47,16 @@ def test_engine(spark, sf):
     assert engine.histogram(req, 86_400).count() > 0
 
 
+def test_cut_pages_are_marked(spark, sf):
+    lines = event_lines(spark, sf)
+    req = lambda limit: Request(namespaces=["error"], start=START, end=END, burst=20, contents_limit=limit)
+    whole, info = Engine(lines).entries(req(30_000_000))
+    cut, marked = Engine(lines).entries(req(100))
+    assert cut.count() < whole.count() and not info.is_partial
+    assert marked.is_partial and Engine(lines).raw(req(100))[1].is_partial
+    assert not Engine(lines.where("false")).entries(req(100))[1].is_partial
+
+
 FILTER = {"namespace": "a", "pods": ["p"]}
 
 

@@ -96,6 +96,11 @@ def capped(lines: DataFrame, limit: int) -> DataFrame:
     return kept.withColumn("sum_before", F.col("before") + within).where(F.col("sum_before") < limit).drop("sec", "before")
 
 
+def is_partial(lines: DataFrame, limit: int) -> bool:
+    """Whether the bytes of ``lines`` reach the limit, so that ``capped`` may leave lines out."""
+    return (lines.agg(F.sum("msg_bytes")).first()[0] or 0) >= limit
+
+
 def capped_chunks(series: DataFrame, limit: int) -> DataFrame:
     """Series (name, size) in order of their names until their bytes exceed the limit."""
     before = F.sum("size").over(Window.orderBy("name")) - F.col("size")

@@ -1,11 +1,14 @@
 """Answers to requests over a table of lines: streams, series, pages of entries, raw text, facets.
 
 A request is one plan: stream and time conditions reach the scan, expressions come last. Pages are
-planned from per-second samples, and only the page's seconds are read again.
+planned from per-second samples, and only the page's seconds are read again. A page whose bytes
+reach the request's limit is cut there and marked as partial.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +56,7 @@ class Engine:
         lines = self.matching(req)
         bounds = paging.page_bounds(series.merged(series.per_second(lines)), req.start, req.end, req.burst)
         page, info = paging.page_lines(lines, bounds, req.page)
-        return paging.capped(page, req.contents_limit), info
+        return paging.capped(page, req.contents_limit), replace(info, is_partial=paging.is_partial(page, req.contents_limit))
 
     def entries(self, req: Request) -> tuple[DataFrame, paging.PageInfo]:
         """A page of structured rows in order."""
