@@ -221,6 +221,17 @@ def test_language_id_learns_once_from_a_repeated_row(table, monkeypatch):
     assert once and language_id.learn(some.unionByName(some)) == once
 
 
+def test_rare_languages_are_learned(spark):
+    langs = [f"l{k:03}" for k in range(205)]
+    rows = [(k * 20 + j, f"{lang} {lang[::-1]} {chr(0x4E00 + k) * 3}", lang) for k, lang in enumerate(langs) for j in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(df, 2)
+    assert model.languages == langs
+    assert [language_id.predict(t, model)[0] for _, t, _ in rows[::12]] == langs
+    one = language_id.learn(df.where("doc_id < 200"), 5, 3)
+    assert one.languages == langs[:10] and [language_id.predict(t, one)[0] for _, t, _ in rows[:120:12]] == langs[:10]
+
+
 # 5
 
 

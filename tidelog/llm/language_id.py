@@ -6,9 +6,10 @@ penalties, so that most are exactly zero; a temperature fitted on a part kept as
 probabilities.
 
 Learning uses text and non-null lang only, of documents whose crc32(doc_id) mod 3 is not 1.
-Document frequencies count all of these. The weights see at most ``PER_LANGUAGE`` documents, those
-with the smallest hash of their id, of each of the ``LANGUAGES`` most frequent languages: a
-documented bound. Prediction covers all rows and whole texts in one scan without a shuffle.
+Document frequencies count all of these. The weights see at most ``PER_LANGUAGE`` documents of each
+language, those with the smallest hash of their id: a documented bound. So that the driver can hold
+them it is lowered, to no less than one, where there are more than ``SAMPLE`` / ``PER_LANGUAGE``
+languages. Every language is learned, from at least one document. Prediction covers all rows and whole texts in one scan without a shuffle.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if
 there is nothing to learn from; a null doc_id is neither learned from nor held out; repeated rows
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import as_text, id_text, remainder, slices
 
 HELD_OUT, FOLDS = 1, 3
-PER_LANGUAGE, LANGUAGES = 1000, 200
+PER_LANGUAGE, SAMPLE = 1000, 200_000
 SHARES = 64
 BITS = 15
 SIZE = 1 << BITS
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 3
-#: Every so manieth sampled text sets the temperature and no weights.
+#: Every so manieth sampled text sets the temperature and no weights, if its language has others.
 ASIDE = 5
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _PLAIN = np.array([ord(" ") if c < 0x80 and not chr(c).isalpha() else c for c in range(0x80)], dtype=np.uint32)
@@ -82,6 +83,8 @@ def fit(sample: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray) -> Mo
         return Model([], idf, np.zeros((SIZE, 0)), np.zeros(0), 1.0)
     rows = [(at, weigh(at, times, idf), languages.index(y)) for at, times, y in sample]
     train, aside = [r for k, r in enumerate(rows) if k % ASIDE], rows[::ASIDE]
+    known = {y for *_, y in train}
+    train, aside = train + [r for r in aside if r[2] not in known], [r for r in aside if r[2] in known]
     # The last row stands for the bias, which isn't penalised.
     z, n = np.zeros((SIZE + 1, len(languages))), np.zeros((SIZE + 1, len(languages)))
 
@@ -117,7 +120,7 @@ def predict(text: str, model: Model) -> tuple[str, float]:
     return model.languages[k], float(p[k])
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE) -> Model:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
 
@@ -137,14 +140,15 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LA
     df[list(found)] = list(found.values())
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    languages = usable.select("lang").distinct().count()
+    most = min(per_language, max(1, sample_rows // max(1, languages)))
     # Ranked within shares of a language first, so that a frequent one isn't one task's load.
-    keys = usable.select("doc_id", "lang").join(F.broadcast(frequent), "lang").withColumn("hash", F.xxhash64(F.col("doc_id"), F.lit(4)))
+    keys = usable.select("doc_id", "lang").withColumn("hash", F.xxhash64(F.col("doc_id"), F.lit(4)))
     keys = keys.withColumn("share", F.pmod(F.col("hash"), F.lit(SHARES)))
     for by in (["lang", "share"], ["lang"]):
         rank = F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))
-        keys = keys.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
-    # At most per_language * languages ids.
+        keys = keys.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    # At most sample_rows ids, or one of each language.
     chosen = F.broadcast(keys.select("doc_id", "lang").distinct())
 
     def features(batches):
