@@ -501,6 +501,12 @@ def test_exact_dedup_keeps_whole_rows(odd):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((r[0] for r in brute_groups(TEXTS) if r[3]), key=repr)
 
 
+def test_exact_dedup_keeps_the_longest_row_of_a_repeated_id(spark):
+    rows = [(i % 5, f"t{i % 5} x" + " " * k) for i in range(5) for k in (0, 3, 9, 9, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(exact_dedup.drop_copies(df)) == [(i, f"t{i} x" + " " * 9) for i in range(5)]
+
+
 # Queries and the pipeline
 
 

@@ -46,6 +46,11 @@ def _light(docs: DataFrame, content_hash: Callable[[Column], Column]) -> DataFra
 
 def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = md5_bits) -> DataFrame:
     """One row per document row: doc_id, keep_id, group_size, kept, text_sha256 (hex), h (hash)."""
+    return _marked(docs, content_hash).drop("n_cp")
+
+
+def _marked(docs: DataFrame, content_hash: Callable[[Column], Column] = md5_bits) -> DataFrame:
+    """``exact_groups`` with n_cp, the code points of the row's text."""
     rows = _light(docs, content_hash)
     stats = [F.count(F.lit(1)).alias("group_size"), F.min(_order()).alias("keep")]
     groups = checkpointed(
@@ -69,24 +74,26 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = md5
         best.alias("best"),
         "text_sha256",
         "h",
+        "n_cp",
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
-    ).select("doc_id", "keep_id", "group_size", (F.col("best") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "h")
+    ).select("doc_id", "keep_id", "group_size", (F.col("best") & (F.col("copy") == 1)).alias("kept"), "text_sha256", "h", "n_cp")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of repeated rows any one."""
-    kept = checkpointed(exact_groups(docs).where("kept").select("doc_id", "h"))
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows any one.
+
+    Rows of one id whose texts differ in white space alone are told apart by their code points.
+    """
+    kept = checkpointed(_marked(docs).where("kept").select("doc_id", "h", "n_cp"))
     rows = docs.select(F.struct(F.col("*")).alias("row"))
-    keyed = rows.select(
-        "row",
-        F.col("row.doc_id").cast("long").alias("id"),
-        md5_bits(normalised(F.coalesce(F.col("row.text").cast("string"), F.lit("")))).alias("hash"),
-    )
-    named = kept.select(F.col("doc_id").alias("keep_doc"), F.col("h").alias("keep_h"))
-    out = keyed.join(named, keyed["id"].eqNullSafe(named["keep_doc"]) & (keyed["hash"] == named["keep_h"]), "left_semi")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    keyed = rows.select("row", F.col("row.doc_id").cast("long").alias("id"), md5_bits(normalised(text)).alias("hash"), F.char_length(text).cast("long").alias("points"))
+    named = kept.select(F.col("doc_id").alias("keep_doc"), F.col("h").alias("keep_h"), "n_cp")
+    same = keyed["id"].eqNullSafe(named["keep_doc"]) & (keyed["hash"] == named["keep_h"]) & (keyed["points"] == named["n_cp"])
+    out = keyed.join(named, same, "left_semi")
     repeated = id_text(docs).groupBy("doc_id").count().where("count > 1")
     if repeated.take(1):
-        out = out.dropDuplicates(["id", "hash"])
+        out = out.dropDuplicates(["id", "hash", "points"])
     return out.select("row.*")
 
 
