@@ -266,6 +266,59 @@ def test_marginals_against_enumeration():
         assert np.allclose(quality.marginals(scores, moves), expected)
 
 
+def brute_likelihood(texts, golds, params):
+    """Log likelihood of the lines' labels, over all labellings of each text."""
+    own, total = quality.OWN, 0.0
+    w, moves = params[: quality.SIZE], params[quality.SIZE :].reshape(2, 2)
+    for bins, gold in zip(texts, golds, strict=True):
+        n = len(bins)
+
+        def score(path):
+            s = sum(moves[a, b] for a, b in zip(path, path[1:], strict=False))
+            for t in (t for t in range(n) if path[t]):
+                near = [(0, t)] + [(1, t - 1)] * (t > 0) + [(2, t + 1)] * (t + 1 < n)
+                s += sum(w[k * own + f] for k, u in near for f in bins[u] if f >= 0) + w[3 * own] + (w[3 * own + 1] if t == 0 else 0) + (w[3 * own + 2] if t == n - 1 else 0)
+            return s
+
+        every = [score([code >> k & 1 for k in range(n)]) for code in range(2**n)]
+        total += score(list(gold)) - np.log(np.exp(every).sum())
+    return total
+
+
+def test_gradient_of_the_fit_against_differences():
+    rng = np.random.default_rng(1)
+    texts = [quality.line_bins(t)[0] for t in ("one line", "a b\nC D 12!!\na b", "x\n\nThe end.\nTHE END\n??", "", "q\nq")]
+    golds = [rng.integers(0, 2, len(b)) for b in texts]
+    params = rng.normal(size=quality.SIZE + 4) / 3
+    found = quality.gradient(quality.Lines(texts), np.concatenate(golds), params)
+    used = np.flatnonzero(found)
+    for at in [*used[:: max(1, len(used) // 40)], *range(quality.SIZE - 3, quality.SIZE + 4), 5]:
+        step = np.zeros_like(params)
+        step[at] = 1e-5
+        slope = (brute_likelihood(texts, golds, params + step) - brute_likelihood(texts, golds, params - step)) / 2e-5
+        assert abs(slope - found[at]) < 1e-6
+
+
+def test_document_quality_is_weighted_by_length():
+    bins, lengths = quality.line_bins("a long line of words that stands first\nno\n12345 !!!")
+    model = quality.Model(np.random.default_rng(2).normal(size=quality.SIZE), np.array([[0.3, -0.2], [0.1, 0.5]]), 1.5, -0.4)
+    good = quality.marginals(quality.emissions(bins, model.weights), model.moves)
+    mean = sum(g * (n + 1) for g, n in zip(good, (38, 2, 9), strict=True)) / (39 + 3 + 10)
+    assert np.isclose(quality.document_quality(bins, lengths, model), np.log(mean / (1 - mean)))
+    assert np.isclose(quality.probability(bins, lengths, model), 1 / (1 + np.exp(-(1.5 * np.log(mean / (1 - mean)) - 0.4))))
+
+
+def test_long_labelled_texts_are_passed_over_in_the_fit(spark, monkeypatch):
+    monkeypatch.setattr(quality, "fit", lambda sample: sorted((len(n), y) for _, n, y in sample))
+    docs = spark.createDataFrame([(k, "x\n" * (k % 7)) for k in range(1, 60)] + [(61, "y\n" * 500)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    every = quality.learn(docs, labels)
+    assert (501, 1) in every
+    some = quality.learn(docs, labels, most_lines=60)
+    assert 55 <= sum(n for n, _ in some) <= 60 and not set(some) - set(every) and quality.learn(docs, labels, most_lines=501 + 7)
+    assert quality.learn(docs, labels, most_lines=0) == []
+
+
 # 6
 
 

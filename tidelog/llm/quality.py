@@ -8,14 +8,18 @@ Labels are of documents, so a line first takes its document's label; after a fit
 documents that the model finds good are relabelled (each such document keeps its worst line bad),
 and the model is fitted again.
 
-Learning: from at most ``SAMPLE`` labelled rows, those with the smallest hash of their id (a
-documented bound; classes keep their share), never those whose crc32(doc_id) mod 5 is 0. Scoring
-covers all rows and whole texts in one scan without a shuffle.
+Learning: from at most ``SAMPLE`` labelled rows with at most ``LINES`` lines together, those with
+the smallest hash of their id (documented bounds; classes keep their share), never those whose
+crc32(doc_id) mod 5 is 0. A row that doesn't fit into what is left of the lines is passed over, so
+a labelled text of more than ``LINES`` lines is never learned from, and the time and memory of a
+fit are bounded whatever the texts' lengths. Scoring covers all rows and whole texts in one scan
+without a shuffle.
 
 Defined cases: a null or empty text is one empty line and gets that line's score; repeated labels
 of an id count as their smallest; labels other than 0 and 1, or null, are ignored; a null doc_id
 is never learned from and isn't held out; without any labels every score is 0.5; repeated
-documents each give a row, and one of them is learned from; other columns are not read.
+documents each give a row, and one of them is learned from; a very long text is scored whole, in
+time linear in its lines; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import as_text, id_text, remainder, slices
 
-#: Labelled rows that are learned from, at most.
-SAMPLE = 6000
+#: Labelled rows that are learned from, and their lines together, at most.
+SAMPLE, LINES = 6000, 200_000
 HELD_OUT, THRESHOLD = 5, 0.3
 ROUNDS, STEPS, RATE, DECAY = 3, 120, 0.1, 1e-4
 #: Edges of the bins that each measure of a line is put in.
@@ -152,7 +156,6 @@ def fit(sample: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     """From (bins, lengths, label) of each text; exact gradients of the conditional likelihood."""
     if len({y for *_, y in sample}) < 2:
         return Model(np.zeros(SIZE), np.zeros((2, 2)), 0.0, 0.0 if not sample else (4.0 if sample[0][2] else -4.0))
-    sample = sorted(sample, key=lambda s: -len(s[1]))
     lines = [np.full(len(n), y, dtype=np.int64) for _, n, y in sample]
     model = Model(np.zeros(SIZE), np.zeros((2, 2)), 1.0, 0.0)
     for turn in range(ROUNDS):
@@ -176,62 +179,98 @@ def fit(sample: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     return model._replace(slope=float(max(slope, 1e-3)), shift=float(shift))
 
 
-def _ascend(bins: list[np.ndarray], labels: list[np.ndarray], model: Model) -> Model:
-    """Adam on all texts at once; texts come longest first, so the open ones are a prefix."""
-    lengths = np.array([len(b) for b in bins])
-    first = np.concatenate(([0], np.cumsum(lengths)))
-    flat, gold = np.concatenate(bins), np.concatenate(labels)
-    n, longest = len(flat), int(lengths.max())
-    open_ = [int((lengths > t).sum()) for t in range(longest)]
-    at = [first[:k] + t for t, k in enumerate(open_)]
-    head, tail = np.zeros(n, bool), np.zeros(n, bool)
-    head[first[:-1]], tail[first[1:] - 1] = True, True
-    pairs = np.flatnonzero(~tail)
-    true_moves = np.zeros((2, 2))
-    np.add.at(true_moves, (gold[pairs], gold[pairs + 1]), 1)
-    params = np.concatenate((model.weights, model.moves.ravel()))
-    m, v = np.zeros_like(params), np.zeros_like(params)
+class Lines:
+    """The lines of all texts one after another, and which are their texts' first and last."""
+
+    def __init__(self, bins: list[np.ndarray]) -> None:
+        first = np.concatenate(([0], np.cumsum([len(b) for b in bins])))
+        self.head, self.tail = np.zeros(first[-1], bool), np.zeros(first[-1], bool)
+        self.head[first[:-1]], self.tail[first[1:] - 1] = True, True
+        flat = np.concatenate(bins)
+        # A feature that isn't there is one more, whose weight is zero.
+        self.features = np.where(flat < 0, OWN, flat).astype(np.int64)
 
-    def spread(values: np.ndarray) -> np.ndarray:
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        own, before, after = (np.append(weights[k * OWN : (k + 1) * OWN], 0.0)[self.features].sum(axis=1) for k in range(3))
+        score = own + weights[3 * OWN] + self.head * weights[3 * OWN + 1] + self.tail * weights[3 * OWN + 2]
+        score[1:] += np.where(self.head[1:], 0, before[:-1])
+        score[:-1] += np.where(self.tail[:-1], 0, after[1:])
+        return score
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
         """Sums of a value of each line over its active features and its neighbours'."""
         grad = np.zeros(SIZE)
-        ok = flat >= 0
-        for block, shifted in ((0, values), (1, np.where(tail, 0, np.r_[values[1:], 0])), (2, np.where(head, 0, np.r_[0, values[:-1]]))):
-            grad[block * OWN : (block + 1) * OWN] = np.bincount(flat[ok], weights=np.repeat(shifted, flat.shape[1]).reshape(flat.shape)[ok], minlength=OWN)
-        grad[3 * OWN :] = values.sum(), values[head].sum(), values[tail].sum()
+        shifted = values, np.where(self.tail, 0, np.r_[values[1:], 0]), np.where(self.head, 0, np.r_[0, values[:-1]])
+        for block, x in enumerate(shifted):
+            for feature in self.features.T:
+                grad[block * OWN : (block + 1) * OWN] += np.bincount(feature, weights=x, minlength=OWN + 1)[:OWN]
+        grad[3 * OWN :] = values.sum(), values[self.head].sum(), values[self.tail].sum()
         return grad
 
+
+def forward_backward(emit: np.ndarray, trans: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward weights of every line of all texts, each scaled to sum one.
+
+    The step into a line is a 2 x 2 matrix, and the step into a text's first line forgets what was
+    before it, so all texts are one chain. It is cut into about as many blocks as a block has lines:
+    products within all blocks are made at once, and only the blocks' edges one after another.
+    Texts of any length therefore take about the square root of the lines in steps of Python.
+    """
+    n = len(emit)
+    size = max(1, math.isqrt(n))
+    blocks = -(-n // size)
+    flat = np.zeros((2, 2, blocks * size))
+    flat[0, 0], flat[1, 1] = 1, 1
+    flat[:, :, :n] = np.where(head, 1.0, trans[:, :, None]) * emit.T[None]
+    # By place in the block: matrices of all blocks.
+    step = np.ascontiguousarray(np.moveaxis(flat.reshape(2, 2, blocks, size), 3, 0))
+    until, onward = np.empty_like(step), np.empty_like(step)
+    until[0], onward[-1] = step[0], step[-1]
+    for j in range(1, size):
+        for out, at, a, b in ((until, j, until[j - 1], step[j]), (onward, -1 - j, step[-1 - j], onward[-j])):
+            product = a[:, 0, None] * b[None, 0] + a[:, 1, None] * b[None, 1]
+            out[at] = product / product.sum(axis=(0, 1))
+    enter, leave = np.full((2, blocks), 0.5), np.full((2, blocks), 0.5)
+    for k in range(1, blocks):
+        a = enter[:, k - 1] @ until[-1, :, :, k - 1]
+        enter[:, k] = a / a.sum()
+        b = onward[0, :, :, -k] @ leave[:, -k]
+        leave[:, -1 - k] = b / b.sum()
+    ahead = enter[0] * until[:, 0] + enter[1] * until[:, 1]
+    back = np.concatenate((onward[1:, :, 0] * leave[0] + onward[1:, :, 1] * leave[1], leave[None]))
+    ahead, back = (np.moveaxis(x, 2, 0).reshape(-1, 2)[:n] for x in (ahead, back))
+    return ahead / ahead.sum(axis=1, keepdims=True), back / back.sum(axis=1, keepdims=True)
+
+
+def gradient(lines: Lines, gold: np.ndarray, params: np.ndarray) -> np.ndarray:
+    """Of the log likelihood of the lines' labels, by weights and then moves."""
+    weights, moves = params[:SIZE], params[SIZE:].reshape(2, 2)
+    e = 1 / (1 + np.exp(-np.clip(lines.scores(weights), -30, 30)))
+    emit, trans = np.stack((1 - e, e), 1), np.exp(moves - moves.max())
+    ahead, back = forward_backward(emit, trans, lines.head)
+    both = ahead * back
+    good = both[:, 1] / both.sum(axis=1)
+    pairs = np.flatnonzero(~lines.tail)
+    true_moves = np.zeros((2, 2))
+    np.add.at(true_moves, (gold[pairs], gold[pairs + 1]), 1)
+    joint = ahead[pairs][:, :, None] * trans[None] * (emit[pairs + 1] * back[pairs + 1])[:, None, :]
+    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    return np.concatenate((lines.spread(gold - good), (true_moves - joint.sum(axis=0)).ravel()))
+
+
+def _ascend(bins: list[np.ndarray], labels: list[np.ndarray], model: Model) -> Model:
+    """Adam on all texts at once."""
+    lines, gold = Lines(bins), np.concatenate(labels)
+    params = np.concatenate((model.weights, model.moves.ravel()))
+    m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, STEPS + 1):
-        weights, moves = params[:SIZE], params[SIZE:].reshape(2, 2)
-        padded = np.concatenate((weights, [0.0]))
-        own, before, after = (padded[np.where(flat < 0, -1, flat + k * OWN)].sum(axis=1) for k in range(3))
-        score = own + weights[3 * OWN] + head * weights[3 * OWN + 1] + tail * weights[3 * OWN + 2]
-        score[1:] += np.where(head[1:], 0, before[:-1])
-        score[:-1] += np.where(tail[:-1], 0, after[1:])
-        e = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        emit = np.stack((1 - e, e), 1)
-        trans = np.exp(moves - moves.max())
-        ahead, back = np.zeros((n, 2)), np.ones((n, 2))
-        ahead[at[0]] = emit[at[0]]
-        for t in range(1, longest):
-            k = at[t]
-            a = ahead[k - 1] @ trans * emit[k]
-            ahead[k] = a / a.sum(axis=1, keepdims=True)
-        for t in range(longest - 2, -1, -1):
-            k = at[t + 1]
-            a = (back[k] * emit[k]) @ trans.T
-            back[k - 1] = a / a.sum(axis=1, keepdims=True)
-        both = ahead * back
-        good = both[:, 1] / both.sum(axis=1)
-        joint = ahead[pairs][:, :, None] * trans[None] * (emit[pairs + 1] * back[pairs + 1])[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        grad = np.concatenate((spread(gold - good), (true_moves - joint.sum(axis=0)).ravel())) / n - DECAY * params
+        grad = gradient(lines, gold, params) / len(gold) - DECAY * params
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model(params[:SIZE], params[SIZE:].reshape(2, 2), 1.0, 0.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = LINES) -> Model:
     """Fits the model on a bounded sample of labelled rows; features are made on the executors."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(
         F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), HELD_OUT) != 0)
@@ -243,19 +282,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def features(batches):
         for batch in batches:
             for part in slices(batch):
-                made = [line_bins(t) for t in as_text(part.column("text"))]
+                texts = as_text(part.column("text"))
+                fits = [t.count("\n") < most_lines for t in texts]
+                part, made = part.filter(pa.array(fits, pa.bool_())), [line_bins(t) for t, ok in zip(texts, fits, strict=True) if ok]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([b.astype("<i2").tobytes() for b, _ in made], pa.binary()), pa.array([n.astype("<i8").tobytes() for _, n in made], pa.binary()), part.column("quality")],
                     ["doc_id", "bins", "lengths", "quality"],
                 )
 
     made = rows.mapInArrow(features, "doc_id long, bins binary, lengths binary, quality int")
-    # One row of each id, however often it is repeated.
-    single = made.groupBy("doc_id").agg(F.min(F.struct("lengths", "bins", "quality")).alias("least")).select("least.*")
-    got = single.toArrow().to_pylist()
-    got.sort(key=lambda r: (r["quality"], r["lengths"], r["bins"]))
+    # One row of each id, however often it is repeated, in the order of the ids' hashes.
+    single = made.groupBy("doc_id").agg(F.min(F.struct("lengths", "bins", "quality")).alias("least")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id").select("least.*")
+    got, left = [], most_lines
+    for row in single.toLocalIterator():
+        if (n := len(row["lengths"]) // 8) <= left:
+            got.append((row["quality"], bytes(row["lengths"]), bytes(row["bins"])))
+            left -= n
     width = len(_BINS) + 1
-    return fit([(np.frombuffer(r["bins"], "<i2").reshape(-1, width).astype(np.int32), np.frombuffer(r["lengths"], "<i8"), r["quality"]) for r in got])
+    return fit([(np.frombuffer(bins, "<i2").reshape(-1, width).astype(np.int32), np.frombuffer(lengths, "<i8"), y) for y, lengths, bins in sorted(got)])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
