@@ -477,6 +477,18 @@ def test_decontamination(spark, sf, duck, odd, table, texts, empty, block_words)
     assert decontamination.digest(odd, items.where("false")).where("contaminated").count() == 0
 
 
+def test_long_items_are_cut_without_losing_windows(spark):
+    long = [(1, " ".join(f"w{k}" for k in range(400))), (2, "w5 w6"), (3, None)]
+    items = spark.createDataFrame(long, "item_id long, text string")
+    blocks = list(decontamination._blocks(items, 13, 60))
+    assert len(blocks) > 6 and all(sum(len(w) for _, w in b) <= 60 for b in blocks)
+    rows = [(k, " ".join(f"w{j}" for j in range(k, k + 13 + k % 3))) for k in range(0, 380, 7)] + [(999, "w1 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontamination.benchmark_hits(docs, items, block_words=60)
+    cut = sorted((r["doc_id"], r["n_words"], len(r["hits"]), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest()) for r in found.collect())
+    assert cut == sorted(e[:5] for e in brute_hits(rows, long))
+
+
 # 9
 
 

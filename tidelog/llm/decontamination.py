@@ -7,12 +7,16 @@ word of a document inside an occurrence of a window is hit.
 Defined cases: a null text has no words, so it is never hit; a document without words is clean; a
 benchmark row with a null text, or without words, has no window; a null item_id still hits words
 but is listed nowhere; repeated benchmark rows count once per item_id; repeated documents each
-give a row; empty tables give an empty result or clean documents; extra columns are not read.
-
-The benchmark is broadcast only in blocks of ``BLOCK_WORDS`` words, a fixed bound; a larger
-benchmark takes one scan of the documents for each block, and the hits are then merged by document.
-Scanning is one pass without a shuffle. Words are found in the benchmark's vocabulary, windows by
-a rolling 64-bit hash, and each hit is verified by comparing the words.
+give a row; empty tables give an empty result or clean documents; texts and items of any length are
+taken whole; extra columns are not read.
+
+The benchmark is broadcast only in blocks of ``BLOCK_WORDS`` words, a fixed bound: executors cut
+longer items into pieces that overlap by a window less one word, so that a block has every window
+and none is larger than that. A larger benchmark takes one scan of the documents for each block;
+its hits are written to a checkpoint and its broadcast is destroyed before the next block is made,
+and the hits are then merged by document. Scanning is one pass without a shuffle. Words are found
+in the benchmark's vocabulary, windows by a rolling 64-bit hash, and each hit is verified by
+comparing the words.
 """
 
 from __future__ import annotations
@@ -20,16 +24,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, id_text, slices
+from tidelog.llm.common import as_bytes, checkpointed, id_text, slices
 
 WIDTH = 13
-#: Words of benchmark text in one broadcast, at most; a longer item makes a block of its own.
+#: Words of benchmark text in one broadcast, at most.
 BLOCK_WORDS = 2_000_000
 _KEEP = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,47 +91,70 @@ class WindowSet:
         return np.flatnonzero(np.cumsum(edge[:-1]) > 0), items
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+def _pieces(benchmark: DataFrame, width: int, block_words: int) -> DataFrame:
+    """(item_id, n, words): items in pieces of bounded size that have all windows of the item."""
+    most = max(block_words, 2 * width)
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch):
+                for item, text in zip(part.column("item_id").to_pylist(), as_bytes(part.column("text")), strict=True):
+                    words = words_of(text)
+                    for at in range(0, max(1, len(words) - width + 1), most - width + 1):
+                        some = words[at : at + most]
+                        yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([len(some)], pa.int64()), pa.array([b" ".join(some)], pa.binary())], ["item_id", "n", "words"])
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, "item_id string, n long, words binary")
+
+
+def _blocks(benchmark: DataFrame, width: int, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
     """Benchmark items in blocks of bounded size, streamed through the driver."""
     block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).toLocalIterator():
-        words = words_of(None if row["text"] is None else bytes(row["text"]))
-        if block and size + len(words) > block_words:
+    for row in _pieces(benchmark, width, block_words).toLocalIterator():
+        if block and size + row["n"] > block_words:
             yield block
             block, size = [], 0
-        block.append((row["item_id"], words))
-        size += len(words)
+        block.append((row["item_id"], bytes(row["words"]).split()))
+        size += row["n"]
     yield block
 
 
+def _scanned(docs: DataFrame, windows) -> DataFrame:
+    """The hits of a broadcast set of windows."""
+
+    def scan(batches):
+        for batch in batches:
+            for part in slices(batch):
+                columns = [[], [], [], [], []]
+                for doc, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), strict=True):
+                    words = words_of(text)
+                    hits, items = windows.value.scan(words)
+                    key = hashlib.md5(text).hexdigest()
+                    for out, value in zip(columns, (key, doc, len(words), hits.astype(np.int32), sorted(items)), strict=True):
+                        out.append(value)
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row_key", "doc_id", "n_words", "hits", "items"])
+
+    return id_text(docs).mapInArrow(scan, _SCHEMA)
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS, keep_key: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_words, hits (positions of words), items (sorted ids)."""
     context = docs.sparkSession.sparkContext
+    blocks = _blocks(benchmark, width, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = _scanned(docs, context.broadcast(WindowSet(first, width)))
+        return found if keep_key else found.drop("row_key")
     parts = []
-    for block in _blocks(benchmark, block_words):
+    for block in chain((first, second), blocks):
         shared = context.broadcast(WindowSet(block, width))
-
-        def scan(batches, shared=shared):
-            windows = shared.value
-            for batch in batches:
-                for part in slices(batch):
-                    columns = [[], [], [], [], []]
-                    for doc, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), strict=True):
-                        words = words_of(text)
-                        hits, items = windows.scan(words)
-                        key = hashlib.md5(text).hexdigest()
-                        for out, value in zip(columns, (key, doc, len(words), hits.astype(np.int32), sorted(items)), strict=True):
-                            out.append(value)
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row_key", "doc_id", "n_words", "hits", "items"])
-
-        parts.append(id_text(docs).mapInArrow(scan, _SCHEMA))
-    if len(parts) == 1:
-        return parts[0] if keep_key else parts[0].drop("row_key")
-    # Equal rows of one block are folded first, so that each part holds a document once.
-    folded = [p.groupBy("row_key", "doc_id", "n_words", "hits", "items").agg(F.count(F.lit(1)).cast("int").alias("copies")) for p in parts]
+        # Equal rows of one block are folded first, so that each part holds a document once.
+        folded = _scanned(docs, shared).groupBy("row_key", "doc_id", "n_words", "hits", "items").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+        parts.append(checkpointed(folded if not parts else folded.where("size(hits) > 0")))
+        shared.destroy()
     merged = (
-        reduce(DataFrame.unionByName, folded)
+        reduce(DataFrame.unionByName, parts)
         .groupBy("row_key", "doc_id", "n_words", "copies")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     )
@@ -154,7 +182,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int =
     With a benchmark of one block each row is tested where it is, and nothing is shuffled. Beyond
     that the hits of all blocks are merged first, and rows are then joined to the verdicts.
     """
-    blocks = _blocks(benchmark, block_words)
+    blocks = _blocks(benchmark, WIDTH, block_words)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return _without(docs, WindowSet(first, WIDTH))
