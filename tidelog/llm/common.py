@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 import pyarrow as pa
@@ -76,6 +77,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A name for a new folder below the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    system, at = _file_system(spark, path)
+    system.mkdirs(at)
+    system.deleteOnExit(at)
+    return f"{path}/data"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what has been read for the last time."""
+    system, at = _file_system(spark, path)
+    system.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 of an Arrow string column, without decoding it."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
