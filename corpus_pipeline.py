@@ -6,14 +6,11 @@ the columns of its input, whatever they are.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm import byte_bpe, decontamination, exact_dedup, quality, simhash
-from tidelog.llm.common import documents, shared_dir
+from tidelog.llm.common import documents, remove, scratch_folder
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +51,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again by the next."""
-    docs, folder = documents(spark, sf_dir), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written as Parquet and read again by the next.
+
+    A stage's table is deleted once the next one's is written; the last one, which the result is
+    read from, goes with the application.
+    """
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = os.path.join(folder, f"{k}-{name}")
+            path = scratch_folder(spark, f"pipeline-{k}-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
