@@ -232,6 +232,94 @@ def test_rare_languages_are_learned(spark):
     assert one.languages == langs[:10] and [language_id.predict(t, one)[0] for _, t, _ in rows[:120:12]] == langs[:10]
 
 
+def plain_features(text):
+    """{feature: times}, gram by gram, in whole numbers."""
+    low = "".join(" " if ord(c) < 128 and not c.isalpha() else c for c in f" {text.lower()} ")
+    mix, out = [int(x) for x in language_id._MIX], {}
+    for n in (1, 2, 3):
+        for k in range(len(low) - n + 1):
+            h = ord(low[k]) * mix[0]
+            for c in low[k + 1 : k + n]:
+                h = h * mix[1] + ord(c) * mix[0]
+            f = ((h + n) * mix[2]) % 2**64 >> (64 - language_id.BITS)
+            out[f] = out.get(f, 0) + 1
+    return out
+
+
+def plain_softmax(z):
+    e = [np.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+class PlainModel:
+    """TF-IDF, FTRL-proximal with elastic net, and a temperature: one number after another."""
+
+    def __init__(self, rows, order):
+        self.langs = sorted({y for _, y in rows})
+        counted = [(plain_features(t), self.langs.index(y)) for t, y in rows]
+        self.n, self.df = len(rows), {}
+        for f, _ in counted:
+            for g in f:
+                self.df[g] = self.df.get(g, 0) + 1
+        sample = [(self.weights_of(f), y) for f, y in (counted[k] for k in order)]
+        train, aside = [r for k, r in enumerate(sample) if k % language_id.ASIDE], sample[:: language_id.ASIDE]
+        known = {y for _, y in train}
+        train, aside = train + [r for r in aside if r[1] not in known], [r for r in aside if r[1] in known]
+        self.z, self.sq = {}, {}
+        for epoch in range(language_id.EPOCHS):
+            for k in np.random.default_rng(epoch).permutation(len(train)):
+                x, y = train[k]
+                p = plain_softmax(self.logits(x))
+                step = [(g, c, v * (p[c] - (c == y)), self.w(g, c)) for g, v in [*x.items(), (None, 1.0)] for c in range(len(self.langs))]
+                for g, c, d, w in step:
+                    old = self.sq.get((g, c), 0.0)
+                    self.z[g, c] = self.z.get((g, c), 0.0) + d - (np.sqrt(old + d * d) - np.sqrt(old)) / language_id.ALPHA * w
+                    self.sq[g, c] = old + d * d
+        losses = [(sum(-np.log(plain_softmax([v / t for v in self.logits(x)])[y] + 1e-12) for x, y in aside), t) for t in np.geomspace(0.05, 5, 80)]
+        self.temperature = min(losses)[1]
+
+    def weights_of(self, times):
+        x = {g: (1 + np.log(n)) * (np.log((1 + self.n) / (1 + self.df.get(g, 0))) + 1) for g, n in times.items()}
+        size = np.sqrt(sum(v * v for v in x.values()))
+        return {g: v / size for g, v in x.items()}
+
+    def w(self, g, c):
+        z, l1, l2 = self.z.get((g, c), 0.0), *((0, 0) if g is None else (language_id.L1, language_id.L2))
+        return 0.0 if abs(z) <= l1 else -(z - np.sign(z) * l1) / ((language_id.BETA + np.sqrt(self.sq.get((g, c), 0.0))) / language_id.ALPHA + l2)
+
+    def logits(self, x):
+        return [sum(v * self.w(g, c) for g, v in x.items()) + self.w(None, c) for c in range(len(self.langs))]
+
+    def predict(self, text):
+        p = plain_softmax([v / self.temperature for v in self.logits(self.weights_of(plain_features(text)))])
+        return self.langs[p.index(max(p))], max(p)
+
+
+def test_language_id_against_a_plain_version(spark):
+    words = {"aa": "the of and to a in", "bb": "der die und in zu den", "cc": "я не что в и 漢字"}
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choices(words[lang].split(), k=rng.randint(2, 7))) + rng.choice(["", " 12!", "\n"]), lang) for k in range(70) for lang in [rng.choice(list(words))]]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert 30 < len(learned) < len(rows)
+    plain = PlainModel([r[1:] for r in learned], np.random.default_rng(0).permutation(len(learned)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.learn(df)
+    assert np.isclose(model.temperature, plain.temperature)
+    for r in language_id.identify(df, model).collect():
+        lang, p = plain.predict(rows[r["doc_id"]][1])
+        assert r["lang_pred"] == lang and np.isclose(r["score"], p, atol=1e-9)
+
+
+def test_the_sample_of_a_language_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "fit", lambda sample, idf: [(y, len(at)) for at, _, y in sample])
+    rows = [(k, "".join(chr(0x4E00 + k * 40 + j) for j in range(30)), f"l{k % 2}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    every, some = language_id.learn(df), language_id.learn(df, pairs=1000)
+    for lang in ("l0", "l1"):
+        assert sum(n for y, n in every if y == lang) > 500 >= sum(n for y, n in some if y == lang) > 300
+    assert sorted(y for y, _ in language_id.learn(df, pairs=1)) == ["l0", "l1"]
+
+
 # 5
 
 

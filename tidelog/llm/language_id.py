@@ -7,9 +7,12 @@ probabilities.
 
 Learning uses text and non-null lang only, of documents whose crc32(doc_id) mod 3 is not 1.
 Document frequencies count all of these. The weights see at most ``PER_LANGUAGE`` documents of each
-language, those with the smallest hash of their id: a documented bound. So that the driver can hold
-them it is lowered, to no less than one, where there are more than ``SAMPLE`` / ``PER_LANGUAGE``
-languages. Every language is learned, from at least one document. Prediction covers all rows and whole texts in one scan without a shuffle.
+language, those with the smallest hash of their id, and of these as many as have ``PAIRS`` distinct
+n-grams together (each language its share): documented bounds. So that the driver can hold them,
+documents are fewer, but no less than one, where there are more than ``SAMPLE`` / ``PER_LANGUAGE``
+languages. Every language is learned, from at least one document, whose n-grams are at most
+``SIZE`` however long it is. Prediction covers all rows and whole texts in one scan without a
+shuffle.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is every text if
 there is nothing to learn from; a null doc_id is neither learned from nor held out; repeated rows
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import as_text, id_text, remainder, slices
 
 HELD_OUT, FOLDS = 1, 3
-PER_LANGUAGE, SAMPLE = 1000, 200_000
+PER_LANGUAGE, SAMPLE, PAIRS = 1000, 200_000, 8_000_000
 SHARES = 64
 BITS = 15
 SIZE = 1 << BITS
@@ -120,7 +123,7 @@ def predict(text: str, model: Model) -> tuple[str, float]:
     return model.languages[k], float(p[k])
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE, pairs: int = PAIRS) -> Model:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = named.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
 
@@ -159,12 +162,18 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int =
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), *columns], ["doc_id", "lang", "at", "times"])
 
     made = usable.join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(features, "doc_id long, lang string, at binary, times binary")
-    # One row of each id, however often it is repeated.
+    # One row of each id, however often it is repeated; in the order of the ids' hashes they are
+    # taken while their language has pairs left.
     single = made.groupBy("doc_id", "lang").agg(F.min(F.struct("at", "times")).alias("least")).select("doc_id", "lang", "least.*")
-    sample = single.toArrow().to_pylist()
+    sample, used, share = [], {}, pairs // max(1, languages)
+    for row in single.orderBy("lang", F.xxhash64(F.col("doc_id"), F.lit(4)), "doc_id").toLocalIterator():
+        n, so_far = len(row["at"]) // 4, used.get(row["lang"], 0)
+        if not so_far or so_far + n <= share:
+            used[row["lang"]] = so_far + n
+            sample.append((row["doc_id"], row["lang"], bytes(row["at"]), bytes(row["times"])))
+    sample.sort()
     order = np.random.default_rng(0).permutation(len(sample))
-    sample.sort(key=lambda r: (r["doc_id"], r["lang"], r["at"], r["times"]))
-    return fit([(np.frombuffer(sample[k]["at"], "<i4"), np.frombuffer(sample[k]["times"], "<i4"), sample[k]["lang"]) for k in order], idf)
+    return fit([(np.frombuffer(at, "<i4"), np.frombuffer(times, "<i4"), lang) for _, lang, at, times in map(sample.__getitem__, order)], idf)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
