@@ -174,6 +174,28 @@ def test_token_files(odd, table, texts, empty, spark, tmp_path):
     assert token_files.digest(empty, path).count() == 0
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Small partitions stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_equal_rows_are_dealt_to_several_tasks(spark, tmp_path, uncoalesced):
+    rows = [(7, "same words here")] * 300 + [(None, f"no id {k % 5}") for k in range(300)] + [(k, f"text {k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).transform(common.checkpointed)
+    out, path = str(tmp_path / "equal"), public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_tokens(df, path, out, shard=200)
+    sizes = [r[0] for r in spark.read.parquet(out).groupBy("part").agg(F.sum("n_docs")).collect()]
+    assert len(sizes) > 2 and max(sizes) < 450
+    back = sorted(token_files.read_tokens(spark, out).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in back] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert [r["start"] for r in back] == np.cumsum([0, *(r["n_tokens"] for r in back)])[:-1].tolist()
+    plan = token_files.read_tokens(spark, out)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
+
+
 def test_words_are_encoded_as_texts_are():
     coder = token_files.word_encoder(public_tokenizers.path("word_bpe_49k.json"))
     rng, parts = random.Random(2), ["a", "The", " ", "\n", "é", "́", "Σ", "漢", "'re", "<|endoftext|>", "\x1c", "\x85", "\xa0", "\x0b", "12", "🙂"]

@@ -7,9 +7,13 @@ places of a token are answered from it without decoding it whole. Files are stor
 ``file`` column of a Parquet table that Spark's writer commits, so a lost executor leaves neither
 half a file nor two.
 
+A shard holds how many tokens of its task stand before it, so that reading adds only the totals of
+the tasks (a row for each task that wrote) and shuffles no ids.
+
 Defined cases: a null text is empty and has the end id only; null ids come first; rows with the
-same id are ordered by a hash of their text; an empty table makes no shard and reads back as no
-rows; other columns are not read.
+same id are ordered by a hash of their text, and equal rows by their place in the input, so that
+they are dealt to several tasks too; a long text is a shard of its own, in one task; an empty table
+makes no shard and reads back as no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import uuid
 import zlib
 from functools import cache
 
@@ -27,14 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, id_text, shared_dir, slices
+from tidelog.llm.common import as_bytes, id_text, scratch_folder, slices
 
 #: Tokens of a shard (the document that crosses the line is its last).
 SHARD = 1 << 18
 END = 2
 #: Words that a worker remembers with their ids; then it starts anew.
 CACHE = 600_000
+#: Tasks whose totals are broadcast (16 bytes each), at most; beyond that they are joined.
+TASKS = 1_000_000
 _MAGIC, _BLOCK = b"WVM1", 512
+_FILES = "part int, seq int, n_docs long, n_tokens long, before long, file binary"
 _HEAD = struct.Struct("<4sBqq")
 #: A word that ends in punctuation without apostrophes, after a letter or digit.
 _ENDED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
@@ -192,6 +198,15 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if any("<|" not in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("this vocabulary has special strings without <|")
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        cases = ["ABC xyz", "ÀB ΣΑΣ İ", "It'S WE'LL", "X9Y.Z"]
+        lowered = str.maketrans({c: c.lower() for c in map(chr, range(65, 91))})
+        if any(one(t) != one(t.translate(lowered)) for t in cases) or one("a\n b\t\tc") != one("a b c"):
+            raise ValueError("this tokenizer tells letters' cases or kinds of white space apart")
+        if one("a b, c") != one("a") + one("b") + one(",") + one("c"):
+            raise ValueError("this tokenizer's pieces go across white space or from letters into punctuation")
         self.width = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.width <= 16 else "<u4")
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -247,14 +262,14 @@ def write_tokens(docs: DataFrame, path: str, out: str, shard: int = SHARD) -> No
     def build(batches):
         coder, part, seq = word_encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([END], dtype=coder.dtype).tobytes()
-        ids, lengths, coded, n = [], [], [], 0
+        ids, lengths, coded, n, before = [], [], [], 0, 0
 
         def close():
             tokens = WaveletMatrix.build(np.frombuffer(b"".join(coded), coder.dtype), coder.width)
             made = Shard(ids, np.array(lengths, dtype=np.int64), tokens)
-            columns = [[part], [seq], [len(ids)], [n], [made.to_bytes()]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "seq", "n_docs", "n_tokens", "file"])
+            columns = [[part], [seq], [len(ids)], [n], [before], [made.to_bytes()]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "seq", "n_docs", "n_tokens", "before", "file"])
 
         for batch in batches:
             for piece in slices(batch):
@@ -265,12 +280,14 @@ def write_tokens(docs: DataFrame, path: str, out: str, shard: int = SHARD) -> No
                     n += lengths[-1]
                     if n >= shard:
                         yield close()
-                        ids, lengths, coded, n, seq = [], [], [], 0, seq + 1
+                        ids, lengths, coded, n, seq, before = [], [], [], 0, seq + 1, before + n
         if ids:
             yield close()
 
-    ordered = id_text(docs).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    shards = ordered.mapInArrow(build, "part int, seq int, n_docs long, n_tokens long, file binary")
+    # The last key only splits equal rows, which are the same in any order.
+    keys = ["doc_id", "tie", "row"]
+    ordered = id_text(docs).withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    shards = ordered.select("doc_id", "text").mapInArrow(build, _FILES)
     shards.write.option("compression", "zstd").parquet(out)
 
 
@@ -282,32 +299,29 @@ def read_tokens(spark: SparkSession, out: str, checksums: bool = False) -> DataF
     def decode(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                part, seq, data = (batch.column(c)[row].as_py() for c in ("part", "seq", "file"))
+                part, before, data = (batch.column(c)[row].as_py() for c in ("part", "before", "file"))
                 shard = Shard.from_bytes(data)
                 tokens, ends = shard.tokens.sequence(), np.cumsum(shard.lengths)
                 for at in range(0, len(ends), 512):
                     some = slice(at, at + 512)
                     ids = [tokens[e - n : e].astype("<u4").tobytes() for e, n in zip(ends[some].tolist(), shard.lengths[some].tolist(), strict=True)]
                     values = list(map(zlib.crc32, ids)) if checksums else ids
-                    columns = [[part] * len(ids), [seq] * len(ids), shard.doc_ids[some], ends[some] - shard.lengths[some], shard.lengths[some], values]
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), kind]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "seq", "doc_id", "at", "n_tokens", value.split()[0]])
-
-    files = spark.read.schema("part int, seq int, n_docs long, n_tokens long, file binary").parquet(out)
-    sizes = files.select("part", "seq", "n_tokens")
-    # Starts in two levels: over the few partitions, and over the shards of each.
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    starts = sizes.select("part", "seq", within.alias("shard_start")).join(parts, "part")
-    found = files.select("part", "seq", "file").mapInArrow(decode, f"part int, seq int, doc_id long, at long, n_tokens long, {value}")
-    return found.join(starts, ["part", "seq"]).select(
-        "doc_id", (F.col("part_start") + F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", value.split()[0]
-    )
+                    columns = [[part] * len(ids), shard.doc_ids[some], before + ends[some] - shard.lengths[some], shard.lengths[some], values]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), kind]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "doc_id", "at", "n_tokens", value.split()[0]])
+
+    files = spark.read.schema(_FILES).parquet(out)
+    # Tokens of the tasks before, over a row for each task.
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    starts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    if (files.agg(F.max("part")).first()[0] or 0) < TASKS:
+        starts = F.broadcast(starts)
+    found = files.select("part", "before", "file").mapInArrow(decode, f"part int, doc_id long, at long, n_tokens long, {value}")
+    return found.join(starts, "part").select("doc_id", (F.col("part_start") + F.col("at")).alias("start"), "n_tokens", value.split()[0])
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
-    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    out = scratch_folder(spark, "tokens")
     write_tokens(docs, path, out)
     return read_tokens(spark, out, checksums=True)
