@@ -80,11 +80,20 @@ def test_pre_tokens_are_counted_alike():
         assert sum(own.count(token_counts.pre_tokens(text))) == len(own.model.encode(text))
 
 
+def test_runs_without_white_space_are_one_pre_token(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    text = "ab-漢" * 50_000
+    df = spark.createDataFrame([(1, text), (2, text + " x"), (2, None)], "doc_id long, text string")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert len(token_counts.pre_tokens(text)) == 1
+    assert got(token_counts.digest(df, path), "doc_id", "n_tokens") == sorted([(1, len(sp.encode(text))), (2, len(sp.encode(text + " x"))), (2, 0)])
+
+
 def test_counts_refuse_a_changing_input(spark):
     import pyarrow as pa
 
     with pytest.raises(RuntimeError):
-        token_counts._add_up(pa.table({"block": pa.array([], pa.int64())}), pa.table({"numbers": [b""], "pieces": [b""]}))
+        token_counts._add_up(pa.table({"block": pa.array([], pa.int64())}), pa.table({"counted": [5]}))
 
 
 # 2

@@ -12,10 +12,12 @@ a text has as many pieces as its pre-tokens have together.
    made.
 
 What moves is one row for each pre-token of a block (a word that every text has is one row per
-block, so no key is hot) and a block's frequencies as one row of bounded size; texts don't move.
+block, so no key is hot), twice: as text, and as a number with its count. Neither gets larger with
+the number of blocks. A block's frequencies are one row of bounded size; texts don't move.
 
 Defined cases: a null text is empty and has no tokens; repeated rows each give a row; an empty
-table gives an empty result; other columns are not read. The input must give its rows in the same
+table gives an empty result; a very long text is a block of its own; a run without white space is
+one pre-token, however long, and moves whole; other columns are not read. The input must give its rows in the same
 order when it is read twice, as files and checkpoints do: blocks are named by their contents, and
 a block that comes out otherwise the second time is an error, not a wrong count.
 """
@@ -155,10 +157,10 @@ def _add_up(texts: pa.Table, counts: pa.Table) -> pa.Table:
     row = texts.to_pylist()[0]
     per_token, times, text_of = _unpack(row["per_token"]), _unpack(row["times"]), np.cumsum(_unpack(row["steps"]))
     pieces = np.zeros(len(per_token), np.int64)
-    number, found = (np.concatenate([np.zeros(0, np.int32), *map(_unpack, counts.column(c).to_pylist())]) for c in ("numbers", "pieces"))
-    if len(number) != len(pieces):
+    counted = counts.column("counted").to_numpy()
+    if len(counted) != len(pieces):
         raise RuntimeError("a block changed between two reads: write or checkpoint the input first")
-    pieces[number] = found
+    pieces[counted >> 32] = counted & 0xFFFFFFFF
     sums = np.zeros(len(row["ids"]), np.int64)
     np.add.at(sums, text_of, times * np.repeat(pieces, per_token))
     return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "n_bytes": pa.array(row["n_bytes"], pa.int64()), "n_tokens": sums})
@@ -169,24 +171,20 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, block: int = BL
     rows = id_text(docs)
 
     def count(batches):
-        own, packer, carried = counter(path), zstandard.ZstdCompressor(level=3), ("", 0)
+        own, carried = counter(path), ("", 0)
         for batch in (b for b in batches if b.num_rows):
             tokens = as_text(batch.column("token"))
             new = [t for t in dict.fromkeys(tokens) if t != carried[0]]
             known = dict(zip(new, own.count(new), strict=True)) | dict([carried])
             carried = (tokens[-1], known[tokens[-1]])
-            pieces = np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
-            block, number = batch.column("block").to_numpy(), batch.column("number").to_numpy()
-            order = np.lexsort((number, block))
-            block, number, pieces = block[order], number[order], pieces[order]
-            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            ends = np.r_[starts[1:], len(block)]
-            packed = [[_pack(packer, c[a:b]) for a, b in zip(starts, ends, strict=True)] for c in (number, pieces)]
-            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), *(pa.array(c, pa.binary()) for c in packed)], ["block", "numbers", "pieces"])
+            pieces = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+            block, counted = batch.column("block").to_numpy(), batch.column("number").to_numpy().astype(np.int64) << 32 | pieces
+            order = np.lexsort((counted, block))  # neighbours that are alike compress
+            yield pa.RecordBatch.from_arrays([pa.array(block[order]), pa.array(counted[order])], ["block", "counted"])
 
     # Sorted, so that equal pre-tokens of all blocks stand together: each is counted once.
     dealt = rows.mapInArrow(lambda b: _vocabulary(b, block), "block long, number int, token string").repartition("token").sortWithinPartitions("token")
-    counted = dealt.mapInArrow(count, "block long, numbers binary, pieces binary")
+    counted = dealt.mapInArrow(count, "block long, counted long")
     texts = rows.mapInArrow(lambda b: _frequencies(b, block), "block long, ids array<long>, n_bytes array<long>, steps binary, per_token binary, times binary")
     summed = texts.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_add_up, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)
