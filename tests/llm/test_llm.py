@@ -154,11 +154,55 @@ def test_repeated_calls_and_results_each_give_a_row(spark):
 def test_conversations_with_odd_rows(spark):
     rows = [("x", 1, 0, "user", "hi"), ("x", 1, 1, "assistant", None), ("x", 2, 0, None, "?"), ("x", None, 0, "user", None), ("x", 3, None, "user", "t"), ("x", 1, 0, "user", "hi"), ("x", 4, 5, "assistant", "alone")]
     df = spark.createDataFrame(rows, "level string, conv_id long, turn long, role string, text string")
-    r = {(x["conv_id"], x["call_id"]): x for x in tool_calls.digest(df).collect()}
-    assert r[(1, "c0")]["status"] == "linked" and r[(4, "c4")]["status"] == "orphan_result" and r[(None, "c0")]["valid"] and len(r) == 4
+    every = tool_calls.digest(df).collect()
+    assert len(every) == len(rows) - 1  # one result stands in its call's row
+    r = {(x["conv_id"], x["call_id"], x["status"]): x for x in every}
+    assert (1, "c0", "linked") in r and (1, "c0", "duplicate_call") in r and (4, "c4", "orphan_result") in r and r[(None, "c0", "no_result")]["valid"]
+    assert (3, None, "unidentified") in r and (2, None, "unknown_role") in r and len(r) == 6
     assert tool_calls.digest(df.where("false")).count() == 0
 
 
+def test_sql_of_conversations_has_the_same_cases(spark, same):
+    import duckdb
+
+    rows = [(1, 0, "system", "be"), (1, 0, "user", "first"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 2, "user", "next"), (1, 2, "user", "next"), (1, 3, "tool", "x"), (1, 3, None, None), (1, 4, "developer", "y")]
+    rows += [(None, 0, "user", None), (None, 1, "assistant", "r"), (2, None, "user", "t"), (2, None, "assistant", "t"), (2, 5, "assistant", "alone"), (3, 7, "user", "z" * 400), (3, 1, "user", ""), (3, 2, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    con = duckdb.connect()
+    conversations = df.toArrow()  # noqa: F841  read by name
+    con.register("conversations", conversations)
+    same(tool_calls.digest(df), con.sql(tool_calls.SQL))
+
+
+def plain_levels(needs):
+    levels, left = {}, dict(needs)
+    while ready := [k for k, d in left.items() if all(x in levels for x in d)]:
+        for k in ready:
+            levels[k] = max((levels[x] + 1 for x in left.pop(k)), default=0)
+    return levels
+
+
+@pytest.mark.parametrize("bits", [10, 2])
+def test_ladders_take_a_round_for_each_block(spark, monkeypatch, bits):
+    monkeypatch.setattr(tool_calls, "BLOCK_BITS", bits)
+    rng, needs = random.Random(11), {}
+    for k in range(24):
+        needs[f"a{k}"] = [f"{s}{k - 1}" for s in "ab"] if k else []
+        needs[f"b{k}"] = [f"{s}{k - 1}" for s in "ab"] if k else []
+    for k in range(60):
+        needs[f"r{k}"] = [f"r{j}" for j in rng.sample(range(60), rng.randint(0, 3)) if j < k or (k, j) in ((5, 50), (6, 51))]
+    needs |= {"x": ["y", "a0"], "y": ["x", "a1"], "z": ["x", "a2"]}
+    turns = {n: int(n[1:] or 0) for n in needs}
+    nodes = spark.createDataFrame([(n, turns[n]) for n in needs], "node string, turn long")
+    edges = spark.createDataFrame([(n, d) for n, ds in needs.items() for d in ds], "node string, needs string")
+    rounds, settle = [], tool_calls.checkpointed
+    monkeypatch.setattr(tool_calls, "checkpointed", lambda df: rounds.append(1) or settle(df))
+    found = {r["node"]: r["level"] for r in tool_calls.topological_levels(nodes, edges).collect()}
+    expected = plain_levels(needs)
+    assert found == {n: expected.get(n) for n in needs}
+    assert bits < 10 or len(rounds) < 30
+
+
 def test_tool_calls_use_no_python(spark, sf):
     plan = queries.op2_tool_calls(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -7,8 +7,11 @@ Native: DataFrame functions only.
   earliest; all others are rows of their own, as is a result without a call.
 * Calls are ordered topologically by what they depend on: ``level`` is the longest way down to a
   call that depends on nothing. Calls with one dependency form trees, which pointer doubling
-  folds in a logarithm of their depth, so a conversation that is one long chain takes few rounds;
-  calls with several are then settled round by round. A cycle has no level.
+  folds in a logarithm of their depth, so a conversation that is one long chain takes few rounds.
+  Calls with several are sorted by turn and dealt into blocks of ``BLOCK``; a round settles, in all
+  blocks at once, whatever a fold over the block's calls can reach, so a ladder takes a round for
+  each block that it goes through and not for each step. Dependencies on later turns take a round
+  each. A cycle has no level.
 * Arguments are parsed as variants and each field is looked up in the schema of its tool.
 * The canonical JSON of a call has sorted keys and no white space.
 
@@ -20,8 +23,8 @@ Defined cases: a null or blank identifier is never linked (``unidentified``, cal
 later calls of an identifier are ``duplicate_call`` and have no level or result, but are validated;
 results beside the one that counts are ``duplicate_result``; a null turn comes after all others,
 and a result of a null turn, or of a call of a null turn, is after its call; of rows of the same
-turn the least in the order of their other columns counts; unknown and null dependencies are
-reported and don't order; arguments that are null, not JSON or not an object are an error of their own; a tool
+turn the least in the order of their other columns counts (calls by name, arguments and
+dependencies, results by content); unknown and null dependencies are reported and don't order; arguments that are null, not JSON or not an object are an error of their own; a tool
 without a schema is ``unknown_tool``; empty tables give an empty result; other columns are not
 read.
 """
@@ -38,6 +41,8 @@ from tidelog.llm.common import checkpointed
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>"
 RESULTS = "conv_id long, call_id string, turn long, content string"
 SCHEMAS = "name string, field string, type string, required boolean, maximum double"
+#: Calls of a block, as a power of two.
+BLOCK_BITS = 10
 
 
 def _known(call_id: Column) -> Column:
@@ -50,8 +55,9 @@ def _least(*columns: str) -> Column:
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level) of all nodes; edges are (node, needs). Null on cycles and what needs them."""
-    nodes = checkpointed(nodes.select("node").distinct())
+    """(node, level) of all nodes (node, and turn or any order); edges are (node, needs). Null on
+    cycles and what needs them."""
+    nodes = checkpointed(nodes.groupBy("node").agg(F.min("turn").alias("turn")))
     n = nodes.count()
     edges = checkpointed(
         edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").join(nodes, "node", "left_semi").select("node", "needs").distinct()
@@ -69,20 +75,46 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # What still points into a tree is on a cycle, or leads to one.
     ends = nodes.join(degree.where("degree = 1").select("node"), "node", "left_anti")
     up = checkpointed(up.join(ends.select(F.col("node").alias("to")), "to", "left_semi").select("node", "to", "steps"))
-    several = edges.join(degree.where("degree > 1").select("node"), "node", "left_semi")
-    levels = checkpointed(ends.join(degree.where("degree > 1").select("node"), "node", "left_anti").select("node", F.lit(0).cast("long").alias("level")))
-    folded = checkpointed(several.join(up.select(F.col("node").alias("needs"), "to", "steps"), "needs", "left").select("node", "to", "steps"))
-    while folded.take(1):
-        ready = folded.join(levels.select(F.col("node").alias("to"), "level"), "to", "left").groupBy("node").agg(
-            F.max(F.col("level") + F.col("steps") + 1).alias("level"), F.count(F.lit(1)).alias("all"), F.count("level").alias("settled")
+    several = degree.where("degree > 1").select("node")
+    levels = checkpointed(ends.join(several, "node", "left_anti").select("node", F.lit(0).cast("long").alias("level")))
+    folded = checkpointed(edges.join(several, "node", "left_semi").join(up.select(F.col("node").alias("needs"), "to", "steps"), "needs", "left").select("node", "to", "steps"))
+    if folded.take(1):
+        levels = _settle(nodes.join(several, "node", "left_semi"), folded, levels)
+    found = up.join(levels.select(F.col("node").alias("to"), "level"), "to").select("node", (F.col("level") + F.col("steps")).alias("level"))
+    return nodes.select("node").join(found, "node", "left")
+
+
+def _settle(nodes: DataFrame, folded: DataFrame, levels: DataFrame) -> DataFrame:
+    """Adds the levels of nodes with several dependencies; folded is (node, to, steps), where ``to``
+    is one of them or has a level, or is null for one that never gets any."""
+    in_order = nodes.repartitionByRange(F.asc_nulls_last("turn"), "node").sortWithinPartitions(F.asc_nulls_last("turn"), "node")
+    at = checkpointed(in_order.select("node", F.monotonically_increasing_id().alias("at")))
+    there = at.select(F.col("node").alias("to"), F.col("at").alias("to_at"))
+    open_ = checkpointed(folded.join(at, "node").join(there, "to", "left").select("node", "at", "to", "to_at", "steps"))
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    while True:
+        known = open_.join(levels.select(F.col("node").alias("to"), "level"), "to", "left")
+        inside = F.col("level").isNull() & (block(F.col("to_at")) == block(F.col("at"))) & (F.col("to_at") < F.col("at"))
+        gathered = known.groupBy("node", "at").agg(
+            F.max(F.col("level") + F.col("steps") + 1).alias("base"),
+            F.min(F.coalesce(F.col("level").isNotNull() | inside, F.lit(False))).alias("reachable"),
+            F.collect_list(F.when(inside, F.struct("to_at", "steps"))).alias("needs"),
         )
-        ready = checkpointed(ready.where(F.col("all") == F.col("settled")).select("node", "level"))
+        # Levels of a block by its calls' places: the fold adds one entry to a map for each call.
+        calls = gathered.groupBy(block(F.col("at")).alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "node", "base", "reachable", "needs"))).alias("calls"))
+        empty = F.array().cast("array<struct<at:bigint,level:bigint>>")
+
+        def step(found, call):
+            own = F.filter(F.transform(call["needs"], lambda e: F.get(F.filter(found, lambda x: x["at"] == e["to_at"]), F.lit(0))["level"] + e["steps"] + 1), lambda x: x.isNotNull())
+            level = F.when(call["reachable"] & (F.size(own) == F.size(call["needs"])), F.greatest(call["base"], F.array_max(own)))
+            return F.concat(found, F.array(F.struct(call["at"].alias("at"), level.alias("level")))).cast("array<struct<at:bigint,level:bigint>>")
+
+        settled = calls.select(F.explode(F.arrays_zip(F.col("calls.node").alias("node"), F.aggregate("calls", empty, step)["level"].alias("level"))).alias("x")).select("x.node", "x.level")
+        ready = checkpointed(settled.where("level IS NOT NULL"))
         if not ready.take(1):
-            break
+            return levels
         levels = checkpointed(levels.unionByName(ready))
-        folded = checkpointed(folded.join(ready.select("node"), "node", "left_anti"))
-    found = up.join(levels.select(F.col("node").alias("to"), "level"), "to").select("node", (F.col("level") + F.col("steps")).alias("level"))
-    return nodes.join(found, "node", "left")
+        open_ = checkpointed(open_.join(ready.select("node"), "node", "left_anti"))
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -141,7 +173,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     unknown = wants.join(own.select(F.col("id").alias("needs")), "needs", "left_anti").select("k", F.concat(F.lit("unknown_dependency:"), F.coalesce("needs.call_id", F.lit("null"))).alias("error"))
     errors = checkpointed(argument_errors(named, schemas).unionByName(unknown).groupBy("k").agg(F.collect_set("error").alias("found")))
     edges = own.select(F.col("id").alias("node"), "conv_id", F.explode("depends_on").alias("needs")).select("node", F.struct("conv_id", F.col("needs").alias("call_id")).alias("needs")).distinct()
-    levels = topological_levels(own.select(F.col("id").alias("node")), edges).select(F.col("node").alias("id"), "level")
+    levels = topological_levels(own.select(F.col("id").alias("node"), "turn"), edges).select(F.col("node").alias("id"), "level")
 
     early = F.coalesce(F.col("turn") <= F.col("asked"), F.lit(False)).alias("early")
     told = answers.join(own.select("id", F.col("turn").alias("asked")), "id").select("id", early, "turn", "content", "r")
@@ -186,7 +218,7 @@ TURN_TOOLS = [
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations as (calls, results): a user's turn asks, depending on what was asked two turns
     before (or on a system turn just before), a system turn configures and has no result, and an
-    assistant's turn is the result of the turn before it. Other roles are left out."""
+    assistant's turn is the result of the turn before it. Other turns are neither."""
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     name = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
     text = F.coalesce("text", F.lit(""))
@@ -203,31 +235,51 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def digest(turns: DataFrame) -> DataFrame:
+    """``link_calls`` of a table of turns; turns of null or another role are rows of their own
+    (``unknown_role``, without an identifier)."""
     calls, results = calls_of_turns(turns)
     schemas = turns.sparkSession.createDataFrame(TURN_TOOLS, SCHEMAS)
-    return link_calls(calls, results, schemas).withColumn("errors", F.array_join("errors", ","))
+    linked = link_calls(calls, results, schemas).withColumn("errors", F.array_join("errors", ","))
+    none, unknown = F.lit(None).cast("string"), F.lit("unknown_role")
+    others = turns.where(~F.coalesce(F.col("role").cast("string").isin("user", "system", "assistant"), F.lit(False))).select(
+        F.col("conv_id").cast("long").alias("conv_id"), none.alias("call_id"), F.col("turn").cast("long").alias("turn"), unknown.alias("status"),
+        none.cast("long").alias("level"), F.lit(False).alias("valid"), unknown.alias("errors"), none.alias("message"),
+    )
+    return linked.unionByName(others)
 
 
 SQL = r"""
-WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, coalesce(text, '') AS x FROM conversations),
-calls AS (SELECT conv_id, 'c' || turn AS call_id, turn, role, x,
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, conv_id, turn, role, text, coalesce(text, '') AS x FROM conversations),
+asked AS (SELECT r, conv_id, 'c' || turn AS call_id, turn, role, x, text, CASE WHEN role = 'user' THEN 'ask' ELSE 'configure' END AS name,
+                 '{"text":' || to_json(x) || CASE WHEN role = 'user' THEN ',"turn":' || coalesce(CAST(turn AS VARCHAR), '') || ',"n_chars":' || length(x) ELSE '' END || '}' AS raw,
                  CASE WHEN role = 'user' AND turn >= 2 THEN 'c' || (turn - 2) WHEN role = 'user' AND turn = 1 THEN 'c0' END AS needs
           FROM t WHERE role IN ('user', 'system')),
-results AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text FROM t WHERE role = 'assistant'),
-levels AS (SELECT c.conv_id, c.call_id, CAST(0 AS BIGINT) AS level FROM calls c LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.call_id = c.needs WHERE p.call_id IS NULL
-           UNION ALL SELECT c.conv_id, c.call_id, l.level + 1 FROM calls c JOIN levels l ON l.conv_id = c.conv_id AND l.call_id = c.needs),
-e AS (SELECT c.*, concat_ws(',',
+ranked AS (SELECT *, call_id IS NOT NULL AND row_number() OVER (PARTITION BY conv_id, call_id ORDER BY name, raw, r) = 1 AS own FROM asked),
+calls AS (SELECT * FROM ranked WHERE own),
+told AS (SELECT r, conv_id, 'c' || (turn - 1) AS call_id, turn, text FROM t WHERE role = 'assistant'),
+told2 AS (SELECT o.*, c.r IS NOT NULL AS called,
+                 row_number() OVER (PARTITION BY o.conv_id, o.call_id ORDER BY o.text NULLS FIRST, o.r) AS k
+          FROM told o LEFT JOIN calls c ON c.conv_id IS NOT DISTINCT FROM o.conv_id AND c.call_id = o.call_id),
+levels AS (SELECT c.conv_id, c.call_id, CAST(0 AS BIGINT) AS level FROM calls c LEFT JOIN calls p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.call_id = c.needs WHERE p.call_id IS NULL
+           UNION ALL SELECT c.conv_id, c.call_id, l.level + 1 FROM calls c JOIN levels l ON l.conv_id IS NOT DISTINCT FROM c.conv_id AND l.call_id = c.needs),
+e AS (SELECT c.*, CASE WHEN call_id IS NULL THEN 'no_identifier' ELSE concat_ws(',',
+             CASE WHEN NOT own THEN 'duplicate_call' END,
              CASE WHEN role = 'user' AND length(x) > 300 THEN 'maximum:text' END,
              CASE WHEN role = 'system' AND length(x) > 200 THEN 'maximum:text' END,
              CASE WHEN role = 'system' THEN 'missing:language' END,
-             CASE WHEN needs IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.call_id = c.needs) THEN 'unknown_dependency:' || needs END) AS errors
-      FROM calls c)
-SELECT coalesce(e.conv_id, r.conv_id) AS conv_id, coalesce(e.call_id, r.call_id) AS call_id, coalesce(e.turn, r.turn) AS turn,
-       CASE WHEN e.call_id IS NULL THEN 'orphan_result' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-       l.level, e.call_id IS NOT NULL AND e.errors = '' AS valid, CASE WHEN e.call_id IS NULL THEN 'no_call' ELSE e.errors END AS errors,
-       CASE WHEN e.call_id IS NOT NULL THEN '{"arguments":{' ||
-            CASE WHEN e.role = 'user' THEN '"n_chars":' || length(e.x) || ',"text":' || to_json(e.x) || ',"turn":' || e.turn ELSE '"text":' || to_json(e.x) END ||
-            '},"id":"' || e.call_id || '","name":"' || CASE WHEN e.role = 'user' THEN 'ask' ELSE 'configure' END || '","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' END AS message
-FROM e FULL OUTER JOIN results r ON e.conv_id = r.conv_id AND e.call_id = r.call_id
-LEFT JOIN levels l ON l.conv_id = e.conv_id AND l.call_id = e.call_id
+             CASE WHEN needs IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.call_id = c.needs) THEN 'unknown_dependency:' || needs END) END AS errors
+      FROM ranked c)
+SELECT e.conv_id, e.call_id, e.turn,
+       CASE WHEN e.call_id IS NULL THEN 'unidentified' WHEN NOT own THEN 'duplicate_call' WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+       l.level, errors = '' AS valid, errors,
+       '{"arguments":{' || CASE WHEN role = 'user' THEN '"n_chars":' || length(x) || ',"text":' || to_json(x) || coalesce(',"turn":' || e.turn, '') ELSE '"text":' || to_json(x) END ||
+       '},"id":' || coalesce('"' || e.call_id || '"', 'null') || ',"name":"' || name || '","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS message
+FROM e LEFT JOIN (SELECT * FROM told2 WHERE called AND k = 1) r ON own AND e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.call_id = r.call_id
+LEFT JOIN levels l ON own AND l.conv_id IS NOT DISTINCT FROM e.conv_id AND l.call_id = e.call_id
+UNION ALL
+SELECT conv_id, call_id, turn, CASE WHEN call_id IS NULL THEN 'unidentified' WHEN called THEN 'duplicate_result' ELSE 'orphan_result' END, NULL, FALSE,
+       CASE WHEN call_id IS NULL THEN 'no_identifier' WHEN called THEN 'duplicate_result' ELSE 'no_call' END, NULL
+FROM told2 WHERE NOT (called AND k = 1)
+UNION ALL
+SELECT conv_id, NULL, turn, 'unknown_role', NULL, FALSE, 'unknown_role', NULL FROM t WHERE role IS NULL OR role NOT IN ('user', 'system', 'assistant')
 """
