@@ -570,7 +570,7 @@ def test_simhash_keeps_one_of_each_group(odd):
 
 def brute_repeats(rows):
     seen, out = set(), []
-    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())):
         words, gone = WORD.findall(t or ""), set()
         for k in range(len(words) - 19):
             window = tuple(words[k : k + 20])
@@ -590,6 +590,16 @@ def test_substring_dedup(odd, table, texts, empty, block):
     assert substring_dedup.digest(empty).count() == 0
 
 
+def test_null_and_repeated_ids_and_equal_rows(spark):
+    rng = random.Random(9)
+    pieces = [" ".join(rng.choices("abcdefgh", k=rng.randint(5, 40))) for _ in range(12)]
+    rows = [(1, pieces[0] + " " + pieces[1])] * 60 + [(None, f"{rng.choice(pieces)} {rng.choice(pieces)}") for _ in range(60)] + [(k % 20, f"{k} {rng.choice(pieces)} {rng.choice(pieces)}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for block in (1 << 22, 500):
+        found = substring_dedup.remove_repeats(df, block, 64).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("s"))
+        assert got(found) == brute_repeats(rows)
+
+
 def test_every_shift_shares_an_anchor():
     d, n = set(substring_dedup.COVER), substring_dedup.PERIOD
     assert substring_dedup.ANCHOR + n - 1 <= substring_dedup.WIDTH
@@ -669,6 +679,8 @@ def test_byte_bpe(odd, table, texts, empty, reference_codec, chunk, overlap):
         coded = byte_bpe.decode_ids(byte_bpe.encode_documents(df, path, public_tokenizers.PATTERN, chunk, overlap), path, public_tokenizers.PATTERN)
         expected = [(i, len(x), np.array(x, "<u4").tobytes(), (t or "").encode()) for i, t in rows for x in [encoding.encode_ordinary(t or "")]]
         assert got(coded, "doc_id", "n_tokens", "ids", "decoded") == sorted(expected, key=repr)
+        both_ways = byte_bpe.encode_documents(df, path, public_tokenizers.PATTERN, chunk, overlap, decode=True)
+        assert got(both_ways, "doc_id", "n_tokens", "ids", "decoded") == sorted(expected, key=repr)
     assert byte_bpe.digest(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
