@@ -6,11 +6,12 @@ looks for the first letter F anywhere, then P, as older stores did.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.timing import floor_div, from_micros, to_micros
 from tidelog.model import STDSTREAM, UNRELIABLE
+from tidelog.operators.running import SPAN, last_known
 
 MIN_LENGTH = 20
 _INSTANT = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?(Z|[+-]\d{2}:?\d{2}|(?=[ \t]))"
@@ -87,11 +88,10 @@ def unreliable(ts_text: Column, line: Column, mark: str = UNRELIABLE) -> Column:
     return F.concat(ts_text, F.lit(f" {mark} "), line)
 
 
-def inherit_instants(lines: DataFrame, by: list[str], order: str = "offset") -> DataFrame:
+def inherit_instants(lines: DataFrame, by: list[str], order: str = "offset", span: int = SPAN) -> DataFrame:
     """Lines of files without an instant take the one before; of standard streams they go, as do
     lines before a file's first instant."""
-    before = F.last("ts_ns", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    filled = lines.withColumn("inherited", F.col("ts_ns").isNull()).withColumn("ts_ns", before)
+    filled = last_known(lines.withColumn("inherited", F.col("ts_ns").isNull()), by, order, "ts_ns", span)
     return filled.where(F.col("ts_ns").isNotNull() & ~(F.col("inherited") & (F.col("source_type") == STDSTREAM)))
 
 

@@ -53,9 +53,9 @@ def validate_template(template: str) -> None:
     if not template:
         return
     if template.count("{{") != template.count("}}"):
-        raise TemplateError("mismatch between '{{' and '}}'")
+        raise TemplateError("braces don't pair up")
     if not template.startswith("/"):
-        raise TemplateError("the template should be an absolute path (starting with `/`)")
+        raise TemplateError("the path doesn't begin with a slash")
     rest = _ACTION.sub("", template)
     if "{{" in rest or "}}" in rest:
         raise TemplateError("unknown action")

@@ -36,6 +36,19 @@ def at(when: dt.datetime | str) -> Column:
     return F.lit(when.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def micros(when: dt.datetime | str) -> int:
+    """Epoch microseconds of what ``at`` takes."""
+    when = dt.datetime.fromisoformat(when) if isinstance(when, str) else when
+    if when.tzinfo is not None:
+        when = when.astimezone(dt.UTC).replace(tzinfo=None)
+    return (when - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+
+
+def ago(now: Column, seconds: float) -> Column:
+    """The instant that long before ``now``. Compared with a plain column it reaches the scan."""
+    return F.timestamp_add("SECOND", F.lit(-int(seconds)), now)
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Decimal string of the whole second, as requests carry it."""
     return floor_div(to_micros(ts), 1_000_000).cast("string")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.timing import at, to_micros
+from tidelog.functions.timing import ago, at
 from tidelog.model import label_pairs
 
 
@@ -53,7 +53,7 @@ def overlapping(chunks: DataFrame, start: dt.datetime | str, end: dt.datetime |
 
 def live(chunks: DataFrame, now: Column, retention_s: int = 7 * 86_400) -> DataFrame:
     """Streams with lines that aren't past their retention."""
-    return chunks.where((F.col("line") > 0) & (to_micros(now) - to_micros(F.col("updated_at")) <= retention_s * 1_000_000))
+    return chunks.where((F.col("line") > 0) & (F.col("updated_at") >= ago(now, retention_s)))
 
 
 def lookup(chunks: DataFrame, pod_uid: str, container: str, source: str) -> DataFrame:
@@ -64,6 +64,27 @@ def of_existing_pods(chunks: DataFrame, pods: DataFrame) -> DataFrame:
     return chunks.join(pods.select("pod_uid").distinct(), "pod_uid", "left_semi")
 
 
+def union(*stores: DataFrame, clusters: list[str] | None = None) -> DataFrame:
+    """Streams of several stores (or clusters) as one table; only the clusters named, if any are."""
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stores)
+    wanted = one_of("cluster", clusters)
+    return whole if wanted is None else whole.where(wanted)
+
+
+def upsert(chunks: DataFrame, pushed: DataFrame, store_addr: str, by: tuple[str, ...] = ("cluster", "id")) -> DataFrame:
+    """The catalog after a store has pushed some of its streams: stamped with its address, the
+    latest row of each identity stays (the pushed one, of two alike)."""
+    new = pushed.withColumn("store_addr", F.lit(store_addr)).withColumn("pushed", F.lit(1))
+    both = chunks.withColumn("pushed", F.lit(0)).unionByName(new, allowMissingColumns=True)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("updated_at"), F.desc("pushed")))
+    return both.withColumn("n", rank).where("n = 1").drop("n", "pushed")
+
+
+def by_namespace(chunks: DataFrame) -> DataFrame:
+    """(cluster, namespace, chunks): how many streams each has."""
+    return chunks.groupBy("cluster", "namespace").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 def namespaces(chunks: DataFrame) -> DataFrame:
     return chunks.select("namespace").distinct()
 

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tidelog.functions.template import default_folder, file_name
 from tidelog.functions.timing import to_micros
 from tidelog.operators.rules import MAX_LOOKBACK_S, due, export_range, first_receipt, order_key
+from tidelog.operators.running import total_before
 
+#: Lines of a page, at most.
+BURST = 1_000_000
 ORDER_COLUMNS = ["order_key", "cluster", "chunk_key", "rule_namespace", "sink_name", "rule_name", "interval_s", "include", "exclude", "start", "end"]
 
 
@@ -27,13 +30,24 @@ def due_orders(bound: DataFrame, receipts: DataFrame, now: Column, max_lookback_
     return known.where(due(F.col("interval_s"), F.col("export_time"), now)).withColumns({"start": start, "end": end}).select(*ORDER_COLUMNS)
 
 
-def lines_of(orders: DataFrame, lines: DataFrame, root: str = "", layout: str = "") -> DataFrame:
-    """Lines that due orders export, with their folder; both ends of a range belong to it."""
+def lines_of(orders: DataFrame, lines: DataFrame, root: str = "", layout: str = "", namespaces: list[str] | None = None) -> DataFrame:
+    """Lines that due orders export, with their folder; both ends of a range belong to it.
+
+    namespaces: of the rules (``registry.namespaces_of``); lines of others aren't read.
+    """
+    lines = lines if namespaces is None else lines.where(F.col("namespace").isin(namespaces))
     joined = lines.join(orders, ["cluster", "chunk_key"]).where(F.col("ts").between(F.col("start"), F.col("end")))
     kept = joined.where(((F.col("include") == "") | F.expr("message RLIKE include")) & ((F.col("exclude") == "") | ~F.expr("message RLIKE exclude")))
     return kept.withColumn("folder", F.concat(default_folder(root, layout, F.col("end")), F.lit("/"), file_name(F.col("start"), F.col("end"))))
 
 
+def paged(exported: DataFrame, burst: int = BURST) -> DataFrame:
+    """Adds ``page``: each order's lines in time order, ``burst`` to a page, by hours and then lines."""
+    timed = exported.withColumns({"hour": F.date_trunc("hour", "ts"), "one": F.lit(1).cast("long")})
+    placed = total_before(timed, ["order_key"], "hour", ["ts_ns", "file_num", "offset"], "one", "place")
+    return placed.withColumn("page", F.floor(F.col("place") / burst).cast("long")).drop("hour", "one", "place")
+
+
 def receipts_after(orders: DataFrame, exported: DataFrame, receipts: DataFrame, now: Column) -> DataFrame:
     """Receipts once the lines are out. An order without lines keeps the receipt it had, or has
     none; bytes are what this round exported."""

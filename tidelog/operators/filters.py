@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.regex import to_java_regex
-from tidelog.functions.timing import at, to_micros
+from tidelog.functions.timing import ago, at
 
 
 def in_range(start: dt.datetime | str, end: dt.datetime | str, ts: str = "ts") -> Column:
@@ -37,4 +37,4 @@ def apply_filters(lines: DataFrame, start=None, end=None, include: str = "", exc
 
 def not_stale(now: Column, limit_s: int = 3600, ts: str = "ts") -> Column:
     """Lines that aren't older than the limit."""
-    return to_micros(now) - to_micros(F.col(ts)) <= limit_s * 1_000_000
+    return F.col(ts) >= ago(now, limit_s)

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.timing import to_micros
+from tidelog.operators.running import SPAN, steps
 
 
-def order_check(entries: DataFrame, by: list[str], position: str) -> DataFrame:
+def order_check(entries: DataFrame, by: list[str], position: str, span: int = SPAN) -> DataFrame:
     """(by, n, out_of_order, ok): no entry is earlier than the one before, and there is one."""
-    before = F.lag("ts").over(Window.partitionBy(*by).orderBy(position))
-    marked = entries.withColumn("early", F.coalesce(F.col("ts") < before, F.lit(False)))
-    return marked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("early").cast("long")).alias("out_of_order")).withColumn("ok", (F.col("n") > 0) & (F.col("out_of_order") == 0))
+    found = steps(entries, by, position, "ts", lambda before, now: now < before, span)
+    return found.withColumnRenamed("bad", "out_of_order").withColumn("ok", (F.col("n") > 0) & (F.col("out_of_order") == 0))
 
 
-def continuity_check(entries: DataFrame, by: list[str], position: str, digit: Column | None = None) -> DataFrame:
+def continuity_check(entries: DataFrame, by: list[str], position: str, digit: Column | None = None, span: int = SPAN) -> DataFrame:
     """(by, verified, breaks, ok): the last digit of each message repeats or goes on by one.
 
     Empty messages are skipped; a message that ends otherwise stops the check there, which counts
@@ -24,11 +24,10 @@ def continuity_check(entries: DataFrame, by: list[str], position: str, digit: Co
     message = F.regexp_replace("message", "\n$", "")
     last = digit if digit is not None else F.when(message.rlike("[0-9]$"), F.substring(message, -1, 1).cast("int"))
     marked = entries.withColumns({"digit": last, "empty": message == ""}).where("NOT empty")
-    stop = F.max(F.col("digit").isNull().cast("int")).over(Window.partitionBy(*by).orderBy(position))
-    open_ = marked.withColumn("stop", stop).where("stop = 0")
-    before = F.lag("digit").over(Window.partitionBy(*by).orderBy(position))
-    stepped = open_.withColumn("broken", F.coalesce((F.col("digit") != before) & (F.col("digit") != (before + 1) % 10), F.lit(False)))
-    return stepped.groupBy(*by).agg(F.count(F.lit(1)).alias("verified"), F.sum(F.col("broken").cast("long")).alias("breaks")).withColumn("ok", F.col("breaks") == 0)
+    stops = marked.where("digit IS NULL").groupBy(*by).agg(F.min(position).alias("stop"))
+    open_ = marked.join(stops, by, "left").where(F.col("stop").isNull() | (F.col(position) < F.col("stop")))
+    found = steps(open_, by, position, "digit", lambda before, now: (now != before) & (now != (before + 1) % 10), span)
+    return found.withColumnsRenamed({"n": "verified", "bad": "breaks"}).withColumn("ok", F.col("breaks") == 0)
 
 
 def freshness(entries: DataFrame, by: list[str], end: Column) -> DataFrame:

@@ -52,9 +52,11 @@ def order_key(source: Column) -> Column:
     return F.concat_ws("_", "rule_namespace", "sink_name", "rule_name", "pod", "container", source)
 
 
-def matches(lines: DataFrame, bound: DataFrame) -> DataFrame:
+def matches(lines: DataFrame, bound: DataFrame, namespaces: list[str] | None = None) -> DataFrame:
     """Lines that a rule of their stream lets through; patterns are Java's, in columns ``include``
-    and ``exclude`` (empty: none)."""
+    and ``exclude`` (empty: none). namespaces: of the rules (``registry.namespaces_of``); lines of
+    others aren't read."""
+    lines = lines if namespaces is None else lines.where(F.col("namespace").isin(namespaces))
     joined = lines.join(bound, ["cluster", "chunk_key"])
     keep = ((F.col("include") == "") | F.expr("message RLIKE include")) & ((F.col("exclude") == "") | ~F.expr("message RLIKE exclude"))
     return joined.where(keep)

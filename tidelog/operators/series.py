@@ -11,6 +11,10 @@ from tidelog.functions.timing import at, from_micros, to_micros
 from tidelog.model import series_name
 
 
+#: Parts that the instants of a histogram are dealt into.
+PARTS = 64
+
+
 def _sums() -> list[Column]:
     return [F.sum("lines").cast("long").alias("lines"), F.sum("size").cast("long").alias("size")]
 
@@ -54,9 +58,12 @@ def size_within(samples: DataFrame, start: dt.datetime | str, end: dt.datetime |
 def histogram(samples: DataFrame, seconds: int = 60) -> DataFrame:
     """(name, ts, lines) on the grid of all names and all instants that occur, zeros filled in.
 
-    The grid is the product of two distinct lists, which is the report's own size.
+    The grid is the product of two distinct lists, which is the report's own size. Each instant is
+    in one of a number of parts and each name in all of them, so that the product is an equi-join
+    whose sides Spark may split or broadcast as their sizes are.
     """
     found = rebucket(samples, seconds, ("name",)).select("name", "ts", "lines")
-    instants = found.agg(F.array_sort(F.collect_set("ts")).alias("instants"))
-    grid = found.select("name").distinct().crossJoin(F.broadcast(instants)).select("name", F.explode("instants").alias("ts"))
+    names = found.select("name").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    instants = found.select("ts").distinct().withColumn("part", F.pmod(F.xxhash64("ts"), F.lit(PARTS)).cast("int"))
+    grid = names.join(instants, "part").select("name", "ts")
     return grid.join(found, ["name", "ts"], "left").na.fill(0, ["lines"])

@@ -9,25 +9,33 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.timing import rfc3339
 from tidelog.model import STDSTREAM
 from tidelog.operators import catalog, filters, paging, series
 from tidelog.plans.request import Request
+from tidelog.sources import store
 from tidelog.sources.tables import catalog_of
 
 ENTRY = ["time", "source_type", "source_path", "stream", "tag", "cluster", "namespace", "labels", "pod", "pod_uid", "container", "message"]
 
 
 class Engine:
+    """Requests over lines and the catalog of their streams (``over_store``: both as stored)."""
+
     def __init__(self, lines: DataFrame, chunks: DataFrame | None = None) -> None:
         self.lines = lines
         self._chunks = chunks
 
+    @classmethod
+    def over_store(cls, spark: SparkSession, path: str) -> Engine:
+        return cls(store.read_lines(spark, path), store.read_chunks(spark, path))
+
     @property
     def catalog(self) -> DataFrame:
+        """Without a stored one it is rebuilt from the lines, whose text is measured for it."""
         if self._chunks is None:
             self._chunks = catalog_of(self.lines)[0]
         return self._chunks
@@ -55,20 +63,21 @@ class Engine:
     def _page(self, req: Request) -> tuple[DataFrame, paging.PageInfo]:
         lines = self.matching(req)
         bounds = paging.page_bounds(series.merged(series.per_second(lines)), req.start, req.end, req.burst)
-        page, info = paging.page_lines(lines, bounds, req.page)
-        return paging.capped(page, req.contents_limit), replace(info, is_partial=paging.is_partial(page, req.contents_limit))
+        return paging.page_lines(lines, bounds, req.page)
 
     def entries(self, req: Request) -> tuple[DataFrame, paging.PageInfo]:
         """A page of structured rows in order."""
         page, info = self._page(req)
-        return entry_columns(paging.ordered(page)), info
+        info = replace(info, is_partial=paging.is_partial(page, req.contents_limit))
+        return entry_columns(paging.ordered(paging.capped(page, req.contents_limit))), info
 
     def raw(self, req: Request) -> tuple[DataFrame, paging.PageInfo]:
-        """A page as one text, of at most the request's limit of bytes and a line."""
+        """A page as text (part, text), of at most the request's limit of bytes as they are sent."""
         page, info = self._page(req)
         if req.enable_log_entry_format:
-            page = page.withColumn("message", F.concat(entry_json(), F.lit("\n")))
-        return paging.raw_text(page, []), info
+            page = page.withColumn("message", F.concat(entry_json(), F.lit("\n"))).withColumn("msg_bytes", F.octet_length("message").cast("long"))
+        info = replace(info, is_partial=paging.is_partial(page, req.contents_limit, hard=True))
+        return paging.raw_text(paging.capped(page, req.contents_limit, hard=True), []), info
 
 
 def entry_columns(lines: DataFrame) -> DataFrame:

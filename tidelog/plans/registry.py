@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.functions.regex import RegexError, to_java_regex
 from tidelog.functions.template import TemplateError, validate_template
-from tidelog.model import RULES
+from tidelog.model import RULES, STDSTREAM
+from tidelog.plans.request import Request
 
 METRIC, EXPORT = "logMetricRules", "logExportRules"
 # Limits of sinks and rules, and the codecs that messages can have.
@@ -18,7 +19,7 @@ MAX_RULES, MIN_INTERVAL_S, MAX_INTERVAL_S, MAX_TAGS = 50, 5, 3600, 10
 CODECS = {"none", "gzip", "snappy", "lz4", "zstd"}
 SASL_USER, SASL_OAUTH = {"PLAIN", "SCRAM-SHA-256", "SCRAM-SHA-512"}, "OAUTHBEARER"
 _BAD_NAME = re.compile(r'[<>:"/\\|?*]')
-EMPTY = "should not be empty"
+EMPTY = "is missing"
 
 
 class NotFound(LookupError):
@@ -46,7 +47,7 @@ def seconds(text) -> float:
 def _filter_errors(f: dict) -> list[tuple[str, str]]:
     out = [] if f.get("namespace") else [("filter.namespace", EMPTY)]
     if not (f.get("setNames") or f.get("pods") or f.get("labels")):
-        out.append(("filter", "`setNames` or `pods` or `labels` must not be empty"))
+        out.append(("filter", "names no set, pod or label"))
     for name in ("include", "exclude"):
         try:
             to_java_regex(f.get(name, ""))
@@ -193,6 +194,19 @@ class SinkRegistry:
             file.unlink()
 
 
+def namespaces_of(sinks: list[dict], kind: str | None = None) -> list[str]:
+    """Namespaces that the rules of sinks select from."""
+    return sorted({r.get("filter", {}).get("namespace", "") for s in sinks for k in (EXPORT, METRIC) if kind in (None, k) for r in s.get(k, [])})
+
+
+def request_of(rule: dict, **rest) -> Request:
+    """What a rule selects, as a request."""
+    f = rule.get("filter", {})
+    sources = [s["type"] if s.get("type") == STDSTREAM or not s.get("path") else f"{s.get('type', '')}@{s['path']}" for s in f.get("sources", [])]
+    names = {"set_names": "setNames", "pods": "pods", "containers": "containers", "clusters": "clusters", "labels": "labels"}
+    return Request(namespaces=[f["namespace"]] if f.get("namespace") else [], sources=sources, include=f.get("include", ""), exclude=f.get("exclude", ""), **{k: f.get(v) or [] for k, v in names.items()}, **rest)
+
+
 def rules_table(spark: SparkSession, sinks: list[dict]) -> DataFrame:
     """Rules of all sinks as rows, export rules first, with patterns that Spark can search by."""
     rows = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.paging import ORDER
@@ -24,6 +24,11 @@ def outcome(status: int) -> str:
     return {OK: "ok", EXISTS: "skipped"}.get(status, "error")
 
 
+def outcome_of(status: Column) -> Column:
+    """The same of a column."""
+    return F.when(status == OK, "ok").when(status == EXISTS, "skipped").otherwise("error")
+
+
 def write_export(lines: DataFrame, root: str) -> None:
     """Lines (``folder``, ``message``, order columns) as text files, one folder each.
 

@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.parsing import parse_lines
+from tidelog.functions.timing import ago
 from tidelog.operators.rules import matches
-from tidelog.sources.files import stored_file
+from tidelog.sources.files import stored_block
+from tidelog.sources.store import write_lines
 
 LATE = "1 hour"
 
 
-def tail(spark: SparkSession, path: str, fmt: str = "text", max_files: int = 1000) -> DataFrame:
-    """Parsed lines of immutable files that appear under a folder of stored streams."""
-    raw = spark.readStream.option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).text(path)
+def tail(spark: SparkSession, path: str, fmt: str = "text", max_files: int = 1000, cluster: str = "default") -> DataFrame:
+    """Parsed lines of immutable files that appear under a folder of stored streams, with their
+    streams."""
+    raw = spark.readStream.option("pathGlobFilter", "*.log").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).option("lineSep", "\n").text(path)
     named = raw.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
-    fields = {k: v for k, v in stored_file(F.col("path")).items() if k not in ("file", "open")}
+    fields = {k: v for k, v in stored_block(F.col("path")).items() if k not in ("file", "open", "started_at", "ended_at", "line")}
+    fields |= {"cluster": F.lit(cluster), "file_num": F.coalesce(fields["file_num"], F.lit(0).cast("long")), "labels": F.lit(None).cast("map<string,string>")}
     return parse_lines(named.withColumns(fields), fmt)
 
 
@@ -31,7 +35,7 @@ def counts(lines: DataFrame, by: list[str], window: str = "1 second", late: str
 
 def fresh(lines: DataFrame, now: Column, limit_s: int) -> DataFrame:
     """Lines young enough to feed metric rules."""
-    return lines.where(F.unix_micros(now) - F.unix_micros(F.col("ts").cast("timestamp")) <= limit_s * 1_000_000)
+    return lines.where(F.col("ts") >= ago(now.cast("timestamp_ntz"), limit_s))
 
 
 def rule_counts(lines: DataFrame, bound: DataFrame, by: list[str]) -> DataFrame:
@@ -40,15 +44,17 @@ def rule_counts(lines: DataFrame, bound: DataFrame, by: list[str]) -> DataFrame:
 
 
 def write_blocks(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Appends lines to Parquet by cluster, namespace and day, in order within each file.
+    """Adds each batch to a store: its lines by cluster, namespace and day, sorted by stream and
+    instant (late lines go to their place in the batch), and its blocks.
 
-    The file sink's log and the checkpoint make a replayed batch harmless.
+    A batch that is run again replaces what it wrote before. Lines of one instant stay in the order
+    in which they were read.
     """
-    dated = lines.withColumn("date", F.to_date("ts"))
-    return (
-        dated.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .partitionBy("namespace", "date").trigger(**(trigger or {"processingTime": "1 second"})).start()
-    )
+
+    def add(batch: DataFrame, n: int) -> None:
+        write_lines(batch.withColumn("offset", F.monotonically_increasing_id()), path, str(n))
+
+    return each_batch(lines, add, checkpoint, trigger or {"processingTime": "1 second"})
 
 
 def each_batch(lines: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
