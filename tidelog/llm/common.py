@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker holds at a time, at most (and one document).
-BLOCK_BYTES = 8 << 20
-
-
-#: Applications that have this package on their workers.
-_SHIPPED: set[str] = set()
+from tidelog.session import remove, scratch_folder, shared_dir, ship
 
+__all__ = ["as_bytes", "as_text", "checkpointed", "documents", "id_text", "remainder", "remove", "scratch_folder", "shared_dir", "ship", "slices"]
 
-def ship(spark: SparkSession) -> None:
-    """Gives Python workers this package, wherever they and the driver were started."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        root = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp()  # the driver serves the file for as long as it runs
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
-        _SHIPPED.add(context.applicationId)
+#: Bytes of text that a Python worker holds at a time, at most (and one document).
+BLOCK_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -63,41 +45,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = os.path.join(tempfile.gettempdir(), f"tidelog-{os.getpid()}")
-    if not os.path.isdir(folder):
-        os.makedirs(folder)
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A name for a new folder below the shared one; it goes when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    system, at = _file_system(spark, path)
-    system.mkdirs(at)
-    system.deleteOnExit(at)
-    return f"{path}/data"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes what has been read for the last time."""
-    system, at = _file_system(spark, path)
-    system.delete(at, True)
-
-
-def _file_system(spark: SparkSession, path: str):
-    context = spark.sparkContext
-    at = context._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(context._jsc.hadoopConfiguration()), at
-
-
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 of an Arrow string column, without decoding it."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
