@@ -8,7 +8,8 @@ has none (one run longer than the overlap), the text from the last trusted bound
 pre-tokenised again across the chunks. Decoding concatenates the raw bytes of the ids.
 
 Texts of one chunk are done in the scan, without a shuffle. Longer ones have their chunks dealt
-over all tasks and are put together by document: a group is as large as one text.
+over all tasks and are put together by document: a group is as large as one text. A round trip
+decodes in the worker that has just made a text's ids.
 
 Defined cases: a null text is empty and has no ids; repeated rows each give a row; an empty table
 gives an empty result; other columns are not read.
@@ -37,10 +38,11 @@ from tidelog.llm.common import as_text, id_text, slices
 #: Code points that a chunk owns, and that it shares with the next.
 CHUNK, OVERLAP = 16_384, 512
 #: Pre-tokens that a worker remembers with their ids; then it starts anew.
-CACHE = 400_000
+CACHE = 250_000
 #: A pre-token is decided by what stands up to this far from its start (contractions) or its end.
 _AHEAD_START, _AHEAD_END = 3, 1
 _SCHEMA = "doc_id long, n_tokens long, ids binary"
+_BOTH = f"{_SCHEMA}, decoded binary"
 #: Neither letter, digit nor white space in any version of Unicode.
 _STAND_IN = "\ue000"
 
@@ -172,17 +174,20 @@ def stitch(coder: Codec, chunks: list[tuple[int, Chunk]]) -> bytes:
     return b"".join(out)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row per document row: doc_id, n_tokens, ids (binary, little-endian unsigned 32 bit)."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, decode: bool = False) -> DataFrame:
+    """One row per document row: doc_id, n_tokens, ids (binary, little-endian unsigned 32 bit) and,
+    with ``decode``, what the ids decode to (``decoded``, binary)."""
     rows = id_text(docs)
-    limit = chunk + overlap
+    limit, schema = chunk + overlap, _BOTH if decode else _SCHEMA
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def short(batches):
         coder = codec(path, pattern)
         for batch in batches:
             for part in slices(batch):
                 ids = [coder.encode(t) for t in as_text(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                more = [pa.array(map(coder.decode, ids), pa.binary())] if decode else []
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), *more], names)
 
     def cut_rows(batches):
         for batch in batches:
@@ -208,7 +213,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
         coder, pdf = codec(path, pattern), pdf.sort_values("start")
         ids, n = stitch(coder, [(r.start, unpack(r.start, r.chunk)) for r in pdf.itertuples()]), int(pdf["copies"].iloc[0])
         doc = pdf["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(doc) else int(doc)] * n, dtype="Int64"), "n_tokens": [len(ids) // 4] * n, "ids": [ids] * n})
+        out = {"doc_id": pd.array([None if pd.isna(doc) else int(doc)], dtype="Int64"), "n_tokens": [len(ids) // 4], "ids": [ids]}
+        return pd.DataFrame(out | ({"decoded": [coder.decode(ids)]} if decode else {}) | {"copies": [n]})
 
     # Repeated rows are folded by the shuffle that deals the chunks out.
     long = (
@@ -216,9 +222,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
         .mapInArrow(cut_rows, "doc_id long, key binary, start long, last boolean, text string")
         .groupBy("doc_id", "key", "start", "last", "text").agg(F.count(F.lit(1)).alias("copies"))
         .mapInArrow(encode_cut, "doc_id long, key binary, copies long, start long, chunk binary")
-        .groupBy("doc_id", "key").applyInPandas(put_together, _SCHEMA)
+        .groupBy("doc_id", "key").applyInPandas(put_together, f"{schema}, copies long")
+        .select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*names)
     )
-    return rows.where(F.char_length("text") <= limit).mapInArrow(short, _SCHEMA).unionByName(long)
+    return rows.where(F.char_length("text") <= limit).mapInArrow(short, schema).unionByName(long)
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -231,10 +238,10 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 raw = [coder.decode(i) for i in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(work, f"{_SCHEMA}, decoded binary")
+    return encoded.mapInArrow(work, _BOTH)
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    return decode_ids(encode_documents(docs, path, pattern), path, pattern).select(
+    return encode_documents(docs, path, pattern, decode=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
