@@ -115,3 +115,14 @@ def test_export_is_repeatable(spark, sf, tmp_path):
         sinks.write_export(lines, str(tmp_path / "out"))
     back = spark.read.text(str(tmp_path / "out"))
     assert back.count() == lines.count() and back.select("folder").distinct().count() == lines.select("folder").distinct().count()
+
+
+def test_lines_are_sent_to_their_target(spark, sf, tmp_path):
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import functions as F
+
+    lines = event_lines(spark, sf).withColumn("folder", F.col("namespace"))
+    assert sinks.send(lines, {"basicBucket": {"destination": str(tmp_path)}}, "/logs") == "basicBucket"
+    assert spark.read.text(str(tmp_path / "logs")).count() == lines.count()
+    with pytest.raises(AnalysisException, match="(?i)kafka"):
+        sinks.send(lines, {"kafka": {"brokers": ["h:1"], "topic": "t"}})

@@ -9,7 +9,7 @@ from tidelog.plans.registry import rules_table
 from tidelog.plans.request import Request
 from tidelog.sources import files, store
 from tidelog.sources.tables import catalog_of, event_lines, fold_blocks
-from tidelog.streaming import live
+from tidelog.streaming import follow, live
 
 LINES = "2024-01-01T00:00:00.1Z stdout F error one\n2024-01-01T00:00:00.9Z stderr F fine\n2024-01-01T00:00:01Z stdout P error two\nno instant\n"
 
@@ -45,6 +45,41 @@ def test_rules(spark, tmp_path):
     assert [tuple(r) for r in run(live.rule_counts(lines, bound, ["rule_name"]), "matched").collect()] == [("r", 2)]
 
 
+def test_files_that_grow_rotate_and_are_cut(spark, tmp_path):
+    d, seen = tmp_path / "in", []
+    d.mkdir()
+
+    def batch():
+        rows = follow.follow(spark, str(d), spanBytes="16")
+        q = live.each_batch(rows, lambda df, n: seen.extend(tuple(r) for r in df.collect()), str(tmp_path / "cp"))
+        q.awaitTermination(60)
+        new = sorted((p.rsplit("/", 1)[1], at, line) for p, at, line in seen)
+        seen.clear()
+        return new
+
+    (d / "a.log").write_text("first\na second line that is longer than a span\nnot yet")
+    (d / "b.txt").write_text("other\n")
+    assert batch() == [("a.log", 0, "first"), ("a.log", 6, "a second line that is longer than a span")]
+    (d / "a.log").open("a").write(" whole\n\n")
+    assert batch() == [("a.log", 47, "not yet whole"), ("a.log", 61, "")]
+    (d / "a.log").rename(d / "a.1.log.old")
+    (d / "a.log").write_text("new file\n")
+    assert batch() == [("a.log", 0, "new file")]
+    (d / "a.log").write_text("cut\n")
+    assert batch() == [("a.log", 0, "cut")]
+    assert batch() == []
+
+
+def test_spans_have_each_line_once(tmp_path):
+    text = "".join(f"{'x' * (k * 7 % 23)}\n" for k in range(60))
+    file = tmp_path / "t.log"
+    file.write_text(text)
+    for size in (1, 5, 64, 10_000):
+        got = [r for s in follow.spans({}, {str(file): len(text)}, size) for r in follow.lines_in(*s)]
+        assert [r[2] for r in got] == text.splitlines() and all(text[at:].startswith(f"{line}\n") for _, at, line in got)
+    assert follow.complete(str(file), len(text) - 1) == text[:-1].rfind("\n") + 1
+
+
 def test_blocks_and_batches(spark, tmp_path):
     path = make(tmp_path)
     q = live.write_blocks(live.tail(spark, path), str(tmp_path / "out"), str(tmp_path / "cp"), {"availableNow": True})

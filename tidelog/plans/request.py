@@ -24,10 +24,6 @@ class NotImplementedVersion(ValueError):
     """The version isn't known (501)."""
 
 
-class TooManyRequests(RuntimeError):
-    """Too much at once (429)."""
-
-
 def _instant(value: str | int | None) -> dt.datetime | None:
     """From epoch seconds, as text or number."""
     if value in (None, "", 0, "0"):

@@ -74,3 +74,15 @@ def kafka_rows(lines: DataFrame, key: str | None = None, partition: int = -1) ->
 
 def s3_path(target: dict, folder: str) -> str:
     return f"s3a://{target['destination'].removeprefix('s3://').strip('/')}/{folder.strip('/')}"
+
+
+def send(exported: DataFrame, rule: dict, root: str = "") -> str:
+    """Writes exported lines (``folder``, ``message``, order columns) to their rule's target, and
+    names its kind. Buckets are folders or object stores that Spark has a file system for."""
+    kind = target_of(rule)
+    target = rule[kind]
+    if kind == "kafka":
+        kafka_rows(exported, target.get("key"), target.get("partition", -1)).write.format("kafka").options(**kafka_options(target)).save()
+    else:
+        write_export(exported, s3_path(target, root) if kind == "s3Bucket" else f"{target['destination'].rstrip('/')}/{root.strip('/')}".rstrip("/"))
+    return kind
