@@ -66,6 +66,7 @@ def test_set_names_and_pieces(spark):
     df = spark.createDataFrame([("abcdef",), ("",), ("äöü",)], "t string")
     assert [r[0] for r in df.select(parsing.split_long(F.col("t"), 4)).collect()] == [["abcd", "ef"], [""], ["äöü"]]
     assert [r[0] for r in df.select(parsing.truncate_bytes(F.col("t"), 4)).collect()] == ["abcd", "", "äö"]
+    assert [r[0] for r in df.select(parsing.truncate_bytes(F.col("t"), 3)).collect()] == ["abc", "", "ä"]
 
 
 def test_timestamps_without_zone(spark):

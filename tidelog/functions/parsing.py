@@ -125,5 +125,6 @@ def split_long(text: Column, size: int) -> Column:
 
 
 def truncate_bytes(line: Column, limit: int = 16 * 1024) -> Column:
-    """The first ``limit`` bytes of a line."""
-    return F.when(F.octet_length(line) <= limit, line).otherwise(F.decode(F.substring(line.cast("binary"), 1, limit), "UTF-8"))
+    """The first ``limit`` bytes of a line, less those of a character that they would cut."""
+    whole = [F.try_validate_utf8(F.substring(line.cast("binary"), 1, limit - k).cast("string")) for k in range(4)]
+    return F.when(F.octet_length(line) <= limit, line).otherwise(F.coalesce(*whole))

@@ -544,6 +544,14 @@ def long_line_split(spark, d):
     return pieces.select("doc_id", "n", F.col("piece").cast("long").alias("piece"), "text")
 
 
+@query(f"WITH {DOCUMENT_LINES_SQL} SELECT doc_id, n, left(line, list_max(list_filter(range(0, 42), lambda i: strlen(left(line, i)) <= 41))) AS text FROM (SELECT doc_id, n, replace(message, chr(10), '') AS line FROM doc_lines)", plain=True)
+def truncated_lines(spark, d):
+    """Lines cut after so many bytes, but not within a character (SRC-21)."""
+    lines = document_lines(spark, d)
+    text = parsing.truncate_bytes(F.regexp_replace("message", "\n$", ""), 41)
+    return lines.select(F.floor(F.col("offset") / 1_000_000).cast("long").alias("doc_id"), (F.col("offset") % 1_000_000).alias("n"), text.alias("text"))
+
+
 @query("SELECT file, first_offset FROM (SELECT cluster || '/' || chunk_key || '/' || file_num AS file, min(\"offset\") AS first_offset FROM lines GROUP BY ALL) WHERE first_offset % 5 <> 0")
 def file_admission(spark, d):
     """Files whose first line has an instant (SRC-08)."""
@@ -772,6 +780,20 @@ def export_window(spark, d):
     return out.join(stale, ["cluster", "chunk_key", "file_num"], "left").na.fill(False, ["stale"])
 
 
+@query(f""",\n{_BOUND}\nSELECT order_key, CAST(sum(msg_bytes) AS BIGINT) AS export_bytes, {_US['now']} AS export_us, max(us) AS log_us FROM (
+SELECT b.cluster || '/ops_archive_files_' || b.pod || '_' || b.container || '_' || b.source AS order_key, l.us, l.msg_bytes FROM lines l JOIN bound b ON l.cluster = b.cluster AND l.chunk_key = b.chunk_key
+WHERE rule_name = 'files' AND l.us BETWEEN {_US['start']} + 1000 AND {_US['now']}) GROUP BY ALL""")
+def export_round(spark, d):
+    """A round of exports: due orders, their lines, and the receipts after it (RUL-05, RUL-13)."""
+    b = _bound(spark, d).where("sink_name = 'archive'")
+    key = F.concat_ws("/", "cluster", rules.order_key(F.col("source")))
+    held = b.select(key.alias("order_key"), F.lit(0).cast("long").alias("export_bytes"), at(START).alias("export_time"), F.lit(600).cast("long").alias("export_interval"), at(START).alias("log_time"))
+    due = exports.due_orders(b, held, at(NOW), 30 * 86_400)
+    out = exports.lines_of(due, event_lines(spark, d), "/logs", namespaces=namespaces_of(_SINKS, EXPORT))
+    after = exports.receipts_after(due, out, held, at(NOW)).where("export_bytes > 0")
+    return after.select("order_key", "export_bytes", _us("export_time", "export_us"), _us("log_time", "log_us"))
+
+
 @query(f"SELECT i AS interval_s, {_US['now']} - i * 1000000 AS export_us, {_US['now']} - least(3 * i, 3600) * 1000000 AS log_us FROM (SELECT DISTINCT CAST(p_size * 60 AS BIGINT) AS i FROM part)", plain=True)
 def first_receipts(spark, d):
     i = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_size") * 60).cast("long").alias("interval_s")).distinct()
@@ -867,9 +889,11 @@ def label_refresh(spark, d):
 # Inspection
 
 
-@query("SELECT cluster, chunk_key, count(*) AS n, CAST(count_if(early) AS BIGINT) AS out_of_order, count_if(early) = 0 AS ok FROM (SELECT *, coalesce(us < lag(us) OVER (PARTITION BY cluster, chunk_key ORDER BY \"offset\"), FALSE) AS early FROM lines) GROUP BY ALL")
+@query("SELECT cluster, chunk_key, count(*) AS n, CAST(count_if(early) AS BIGINT) AS out_of_order, count_if(early) = 0 AS ok FROM (SELECT *, coalesce(us < lag(us) OVER (PARTITION BY cluster, chunk_key ORDER BY \"offset\"), FALSE) AS early FROM (SELECT * REPLACE (CASE WHEN \"offset\" % 50 = 7 THEN us - 864000000000 ELSE us END AS us) FROM lines)) GROUP BY ALL")
 def inspect_order(spark, d):
-    return inspection.order_check(event_lines(spark, d), ["cluster", "chunk_key"], "offset", 512)
+    """Entries that are earlier than those before them (INS-01); some are put ten days back."""
+    shown = F.when(F.col("offset") % 50 == 7, F.timestamp_add("DAY", F.lit(-10), "ts")).otherwise(F.col("ts"))
+    return inspection.order_check(event_lines(spark, d).withColumn("ts", shown), ["cluster", "chunk_key"], "offset", 512)
 
 
 @query("""SELECT conv_id, count(*) AS verified, CAST(count_if(broken) AS BIGINT) AS breaks, count_if(broken) = 0 AS ok FROM (
