@@ -111,18 +111,19 @@ def test_streams_of_two_clusters_are_apart(spark):
 
 
 def test_gauges(spark):
-    rows = [("live", 100, False), ("gone", 300, True), ("gone-too", 700, True)]
+    rows = [("cart", 41, False), ("mail", 5, True), ("pay", 17, True), ("cart", 2, False)]
     df = spark.createDataFrame(rows, "pod string, size long, pod_deleted boolean").withColumns({"namespace": F.lit("n"), "container": F.lit("c"), "source_type": F.lit("stdstream"), "source_path": F.lit("")})
-    assert {(r["stale"], r["pod"]): r["size"] for r in metrics.block_sizes(df).collect()} == {(False, "live"): 100, (True, None): 1000}
-    again = df.unionByName(df.where("pod = 'gone'").withColumn("pod_deleted", F.lit(False)))
-    assert [r["pod"] for r in metrics.to_release(again).collect()] == ["gone-too"]
-    errors = spark.createDataFrame([("A",), ("B",), ("A",), ("B",), ("A",)], "error string")
-    assert tuple(metrics.producer_errors(errors).first()) == (5, ["A", "B"])
+    assert {(r["stale"], r["pod"]): r["size"] for r in metrics.block_sizes(df).collect()} == {(False, "cart"): 43, (True, None): 22}
+    assert sorted(r["pod"] for r in metrics.to_release(df).collect()) == ["mail", "pay"]
+    again = df.unionByName(df.where("pod = 'mail'").withColumn("pod_deleted", F.lit(False)))
+    assert [r["pod"] for r in metrics.to_release(again).collect()] == ["pay"]
+    errors = spark.createDataFrame([("timeout",), ("refused",), ("timeout",), (None,)], "error string")
+    assert tuple(metrics.producer_errors(errors).first()) == (4, ["refused", "timeout"])
 
 
 def test_receipts(spark):
-    now = dt.datetime(2024, 1, 1, 12)
-    for interval, expected in ((600, 1800), (1800, 3600), (1200, 3600)):
+    now = dt.datetime(2031, 11, 5, 3, 7, 9)
+    for interval, expected in ((5, 15), (1199, 3597), (1201, 3600), (3600, 3600)):
         r = rules.first_receipt(F.lit(interval), F.lit(now.isoformat()).cast("timestamp_ntz"))
         assert spark.range(1).select(r["log_time"]).first()[0] == now - dt.timedelta(seconds=expected)
 

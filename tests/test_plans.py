@@ -92,16 +92,16 @@ def test_rule_checks():
 
 
 def test_merge_keeps_what_is_unset():
-    old = [{"name": "a", "enableLogEntryFormat": True, "basicBucket": {"destination": "x", "shouldEncodeFileName": True}}, {"name": "b"}]
-    assert merge_rules(old, [{"name": "c"}, {"name": "a"}]) == [{"name": "c"}, old[0], {"name": "b"}]
-    assert merge_rules(old, [{"name": "a", "enableLogEntryFormat": False}])[0]["enableLogEntryFormat"] is False
-    nested = merge_rules(old, [{"name": "a", "basicBucket": {"shouldEncodeFileName": False}}])[0]["basicBucket"]
-    assert nested == {"destination": "x", "shouldEncodeFileName": False}
+    old = [{"name": "hot", "interval": "5m", "s3Bucket": {"destination": "s3://x", "region": "r1", "shouldEncodeFileName": True}}, {"name": "cold", "interval": "1h"}]
+    assert merge_rules(old, [{"name": "new"}, {"name": "hot", "interval": ""}]) == [{"name": "new"}, *old]
+    assert merge_rules(old, [{"name": "cold", "interval": "2h", "enableLogEntryFormat": False}]) == [{"name": "cold", "interval": "2h", "enableLogEntryFormat": False}, old[0]]
+    nested = merge_rules(old, [{"name": "hot", "s3Bucket": {"region": "r2", "shouldEncodeFileName": False}}])[0]
+    assert nested == {"name": "hot", "interval": "5m", "s3Bucket": {"destination": "s3://x", "region": "r2", "shouldEncodeFileName": False}}
 
 
 def test_targets():
     assert sinks.target_of({"kafka": {}, "basicBucket": {}}) == "basicBucket"
-    assert [sinks.outcome(s) for s in (200, 409, 500, 201)] == ["ok", "skipped", "error", "error"]
+    assert [sinks.outcome(s) for s in (404, 200, 302, 409)] == ["error", "ok", "error", "skipped"]
     options = sinks.kafka_options({"brokers": ["a:1", "b:2"], "topic": "t", "tls": {"enable": True}, "sasl": {"enable": True, "mechanism": "PLAIN", "user": "u", "password": "p"}, "compression": "lz4"})
     assert options["kafka.bootstrap.servers"] == "a:1,b:2" and options["kafka.security.protocol"] == "SASL_SSL" and options["kafka.compression.type"] == "lz4"
     assert sinks.s3_path({"destination": "s3://bucket/"}, "/a/b") == "s3a://bucket/a/b"
