@@ -186,6 +186,12 @@ def test_caps(spark):
     assert [paging.is_partial(lines, n, hard=h) for n, h in ((3000, False), (3000, True), (2999, True), (3001, False))] == [True, False, True, False]
 
 
+def test_caps_of_lines_at_the_same_place(spark):
+    """Two clusters may have a stream, file and offset in common."""
+    lines = spark.createDataFrame([(T0, 1, "c", 0, 1, 10)] * 6, "ts timestamp_ntz, ts_ns long, chunk_key string, file_num long, offset long, msg_bytes long")
+    assert [paging.capped(lines, n, hard=h).count() for n, h in ((25, False), (25, True), (60, True))] == [3, 2, 6]
+
+
 def test_text_in_parts(spark):
     rows = [(T0 + dt.timedelta(seconds=k), k, "c", 0, k, 5, f"{k:04}\n") for k in range(50)]
     lines = spark.createDataFrame(rows, "ts timestamp_ntz, ts_ns long, chunk_key string, file_num long, offset long, msg_bytes long, message string").repartition(4)

@@ -60,11 +60,12 @@ def test_cut_pages_are_marked(spark, sf):
 FILTER = {"namespace": "a", "pods": ["p"]}
 
 
-def test_registry(tmp_path):
-    r = SinkRegistry(str(tmp_path))
+def test_registry(spark, tmp_path):
+    r = SinkRegistry(spark, str(tmp_path / "sinks"))
     sink = {"namespace": "ops", "name": "s", "type": METRIC, METRIC: [{"name": "one", "filter": FILTER}]}
     assert r.put(sink) and not r.put({**sink, METRIC: [{"name": "two", "filter": FILTER}]})
-    assert [x["name"] for x in r.list("ops")[0][METRIC]] == ["two", "one"]
+    assert [x["name"] for x in r.list("ops")[0][METRIC]] == ["two", "one"] and r.list("ops", EXPORT) == []
+    assert SinkRegistry(spark, f"file://{tmp_path}/sinks").list(name="s") == r.list()
     with pytest.raises(TooManyRules):
         r.put({**sink, METRIC: [{"name": f"r{k}", "filter": FILTER} for k in range(60)]})
     with pytest.raises(NotFound):

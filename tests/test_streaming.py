@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.rules import bind
 from tidelog.plans.engine import Engine
-from tidelog.plans.registry import rules_table
+from tidelog.plans.registry import SinkRegistry, rules_table
 from tidelog.plans.request import Request
 from tidelog.sources import files, store
 from tidelog.sources.tables import catalog_of, event_lines, fold_blocks
@@ -45,6 +45,20 @@ def test_rules(spark, tmp_path):
     assert [tuple(r) for r in run(live.rule_counts(lines, bound, ["rule_name"]), "matched").collect()] == [("r", 2)]
 
 
+def test_rules_are_read_for_each_batch(spark, tmp_path):
+    path, seen = make(tmp_path), []
+    chunks = spark.createDataFrame([("c", "ns", "web-1", "web-1-x", "app", "stdstream", {"a": "b"}, "k")], "cluster string, namespace string, set_name string, pod string, container string, source string, labels map<string,string>, chunk_key string")
+    registry = SinkRegistry(spark, str(tmp_path / "sinks"))
+    rule = lambda text: {"namespace": "ops", "name": "s", "type": "logMetricRules", "logMetricRules": [{"name": "r", "filter": {"namespace": "ns", "pods": ["web-1-x"], "include": text}}]}
+    bound = lambda: bind(rules_table(spark, registry.list()), chunks).select("rule_name", "include", "exclude", "cluster", "chunk_key")
+    for text in ("^error", "^fine"):
+        registry.put(rule(text))
+        lines = live.tail(spark, path, cluster="c").withColumn("chunk_key", F.lit("k")).where("source_type = 'stdstream'")
+        live.rule_batches(lines, bound, lambda df, n: seen.extend(r["message"] for r in df.collect()), str(tmp_path / "cp")).awaitTermination(60)
+        (tmp_path / "in" / "ns_web-1-x_uid-1" / "app" / "b.log").write_text(LINES)
+    assert sorted(seen) == ["error one", "error two", "fine"]
+
+
 def test_files_that_grow_rotate_and_are_cut(spark, tmp_path):
     d, seen = tmp_path / "in", []
     d.mkdir()

@@ -114,7 +114,7 @@ def capped(lines: DataFrame, limit: int, hard: bool = False, size: str = "msg_by
     timed = lines.withColumn("sec", F.date_trunc("second", "ts"))
     by_second = timed.groupBy("sec").agg(F.sum(size).alias("sum")).withColumn("hour", F.date_trunc("hour", "sec"))
     before = total_before(by_second, [], "hour", ["sec"], "sum", "before").where(F.col("before") < limit).select("sec", "before")
-    within = F.sum(size).over(Window.partitionBy("sec").orderBy(*ORDER)) - F.col(size)
+    within = F.sum(size).over(Window.partitionBy("sec").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
     summed = timed.join(before, "sec").withColumn("sum_before", F.col("before") + within)
     fits = F.col("sum_before") + F.col(size) <= limit if hard else F.col("sum_before") < limit
     return summed.where(fits).drop("sec", "before")

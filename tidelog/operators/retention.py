@@ -62,7 +62,7 @@ def admit(lines: DataFrame, tiers: tuple[int, ...] = TIERS, lines_per_second: in
     beyond the number of lines; after the first rejection of a second nothing more is admitted.
     """
     window = Window.partitionBy(*KEY, F.date_trunc("second", "ts")).orderBy("ts_ns", "offset")
-    before, n = F.sum("msg_bytes").over(window) - F.col("msg_bytes"), F.row_number().over(window)
+    before, n = F.sum("msg_bytes").over(window.rowsBetween(Window.unboundedPreceding, 0)) - F.col("msg_bytes"), F.row_number().over(window)
     ranked = lines.withColumns({"before": before, "n": n})
     text = F.when(F.col("before") > max(tiers), F.lit(f"more than {max(tiers)} bytes in a second")).when(F.col("n") > lines_per_second, F.lit(f"more than {lines_per_second} lines in a second"))
     return ranked.withColumn("limit_text", text).withColumn("admitted", F.col("limit_text").isNull()).drop("before")

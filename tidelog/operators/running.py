@@ -23,7 +23,9 @@ def total_before(rows: DataFrame, by: list[str], bucket: str, order: list[str],
     totals = rows.groupBy(*by, bucket).agg(F.sum(value).alias("bucket_sum"))
     over = Window.partitionBy(*by).orderBy(bucket)
     carried = totals.select(*by, bucket, (F.sum("bucket_sum").over(over) - F.col("bucket_sum")).alias("carried"))
-    within = F.sum(value).over(Window.partitionBy(*by, bucket).orderBy(*order)) - F.col(value)
+    # By rows, so that rows of the same order aren't counted as earlier than each other.
+    own = Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = F.sum(value).over(own) - F.col(value)
     return rows.withColumn("within", within).join(carried, [*by, bucket]).withColumn(name, F.col("carried") + F.col("within")).drop("carried", "within")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from pathlib import Path
+from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +12,7 @@ from tidelog.functions.regex import RegexError, to_java_regex
 from tidelog.functions.template import TemplateError, validate_template
 from tidelog.model import RULES, STDSTREAM
 from tidelog.plans.request import Request
+from tidelog.session import file_system
 
 METRIC, EXPORT = "logMetricRules", "logExportRules"
 # Limits of sinks and rules, and the codecs that messages can have.
@@ -144,54 +145,65 @@ def merge_rules(old: list[dict], new: list[dict]) -> list[dict]:
 
 
 class SinkRegistry:
-    """One JSON file for each sink."""
+    """One JSON file for each sink, in a folder of any file system that Spark knows."""
 
-    def __init__(self, folder: str) -> None:
-        self.folder = Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.system, at = file_system(spark, self.folder)
+        self.system.mkdirs(at)
 
-    def _file(self, namespace: str, name: str) -> Path:
-        return self.folder / f"{namespace}__{name}.json"
+    def _path(self, namespace: str, name: str):
+        return file_system(self.spark, f"{self.folder}/{namespace}__{name}.json")[1]
+
+    def _read(self, path) -> dict:
+        with closing(self.system.open(path)) as stream:
+            return json.loads(bytes(stream.readAllBytes()))
+
+    def _write(self, path, sink: dict) -> None:
+        with closing(self.system.create(path, True)) as stream:
+            stream.write(json.dumps(sink, sort_keys=True).encode())
 
     def list(self, namespace: str = "", kind: str = "", name: str = "") -> list[dict]:
-        found = [json.loads(p.read_text()) for p in sorted(self.folder.glob("*.json"))]
+        files = sorted((f.getPath() for f in self.system.listStatus(file_system(self.spark, self.folder)[1])), key=str)
+        found = [self._read(p) for p in files if p.getName().endswith(".json")]
         return [s for s in found if (not namespace or s["namespace"] == namespace) and (not kind or s["type"] == kind) and (not name or s["name"] == name)]
 
     def put(self, sink: dict) -> bool:
         """True if it is new; rules of one that is there are merged."""
         if errors := sink_errors(sink):
             raise Invalid(errors)
-        file, kind = self._file(sink["namespace"], sink["name"]), sink["type"]
-        new = not file.exists()
+        path, kind = self._path(sink["namespace"], sink["name"]), sink["type"]
+        new = not self.system.exists(path)
         if not new:
-            old = json.loads(file.read_text())
+            old = self._read(path)
             if old["type"] != kind:
                 raise NotFound(sink["name"])
             sink = overlay(old, sink) | {kind: merge_rules(old.get(kind, []), sink.get(kind, []))}
         if len(sink.get(kind, [])) > MAX_RULES:
             raise TooManyRules(f"at most {MAX_RULES} rules")
-        file.write_text(json.dumps(sink, sort_keys=True))
+        self._write(path, sink)
         return new
 
-    def delete(self, namespace: str, name: str) -> None:
-        file = self._file(namespace, name)
-        if not file.exists():
+    def _there(self, namespace: str, name: str):
+        path = self._path(namespace, name)
+        if not self.system.exists(path):
             raise NotFound(name)
-        file.unlink()
+        return path
+
+    def delete(self, namespace: str, name: str) -> None:
+        self.system.delete(self._there(namespace, name), False)
 
     def delete_rule(self, namespace: str, name: str, rule: str) -> None:
         """With its last rule the sink goes too."""
-        file = self._file(namespace, name)
-        if not file.exists():
-            raise NotFound(name)
-        sink = json.loads(file.read_text())
+        path = self._there(namespace, name)
+        sink = self._read(path)
         kept = [r for r in sink.get(sink["type"], []) if r["name"] != rule]
         if len(kept) == len(sink.get(sink["type"], [])):
             raise NotFound(rule)
         if kept:
-            file.write_text(json.dumps(sink | {sink["type"]: kept}, sort_keys=True))
+            self._write(path, sink | {sink["type"]: kept})
         else:
-            file.unlink()
+            self.system.delete(path, False)
 
 
 def namespaces_of(sinks: list[dict], kind: str | None = None) -> list[str]:

@@ -43,6 +43,12 @@ def rule_counts(lines: DataFrame, bound: DataFrame, by: list[str]) -> DataFrame:
     return matches(lines, bound).groupBy(*by).agg(F.count(F.lit(1)).alias("matched"))
 
 
+def rule_batches(lines: DataFrame, bound: Callable[[], DataFrame], work: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Matched lines of each batch, by the rules as they stand when it begins: new ones count from
+    then on, and those that are gone no more."""
+    return each_batch(lines, lambda batch, n: work(matches(batch, bound()), n), checkpoint, trigger)
+
+
 def write_blocks(lines: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Adds each batch to a store: its lines by cluster, namespace and day, sorted by stream and
     instant (late lines go to their place in the batch), and its blocks.
