@@ -43,6 +43,8 @@ RESULTS = "conv_id long, call_id string, turn long, content string"
 SCHEMAS = "name string, field string, type string, required boolean, maximum double"
 #: Calls of a block, as a power of two.
 BLOCK_BITS = 10
+#: Fields of all schemas that are broadcast, at most; beyond that schemas are joined by name.
+FIELDS = 100_000
 
 
 def _known(call_id: Column) -> Column:
@@ -122,12 +124,14 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     parsed = calls.select("k", "name", F.try_parse_json("arguments").alias("value"))
     is_object = F.coalesce(F.schema_of_variant("value").startswith("OBJECT"), F.lit(False))
     described = schemas.select(F.col("name").alias("tool"), "field", F.lower("type").alias("type"), "required", "maximum").dropDuplicates(["tool", "field"])
-    tools = described.groupBy(F.col("tool").alias("has_schema")).count()
-    with_tool = parsed.join(tools, parsed["name"] == tools["has_schema"], "left")
+    few = described.limit(FIELDS + 1).count() <= FIELDS
+    side = F.broadcast if few else lambda df: df
+    tools = described.select(F.col("tool").alias("has_schema")).distinct()
+    with_tool = parsed.join(side(tools), parsed["name"] == tools["has_schema"], "left")
     whole = with_tool.select("k", F.when(F.col("has_schema").isNull(), "unknown_tool").when(~is_object, "not_an_object").alias("error")).where("error IS NOT NULL")
     objects = with_tool.where(F.col("has_schema").isNotNull() & is_object).select("k", "name", "value")
     entries = objects.select("k", "name", F.explode(F.from_json(F.to_json("value"), "map<string,variant>")).alias("key", "got"))
-    given = entries.join(described, (entries["name"] == described["tool"]) & (entries["key"] == described["field"]), "left")
+    given = entries.join(side(described), (entries["name"] == described["tool"]) & (entries["key"] == described["field"]), "left")
     kind = F.schema_of_variant("got")
     fits = (
         F.when(F.col("type") == "string", kind == "STRING")
@@ -147,7 +151,7 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         .alias("error"),
     ).where("error IS NOT NULL")
     needed = described.where("required").select(F.col("tool").alias("name"), F.col("field").alias("key"))
-    missing = objects.select("k", "name").join(needed, "name").join(entries.select("k", "key"), ["k", "key"], "left_anti")
+    missing = objects.select("k", "name").join(side(needed), "name").join(entries.select("k", "key"), ["k", "key"], "left_anti")
     return whole.unionByName(bad).unionByName(missing.select("k", F.concat(F.lit("missing:"), "key").alias("error")))
 
 
