@@ -19,7 +19,6 @@ makes no shard and reads back as no rows; other columns are not read.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from functools import cache
@@ -42,8 +41,9 @@ TASKS = 1_000_000
 _MAGIC, _BLOCK = b"WVM1", 512
 _FILES = "part int, seq int, n_docs long, n_tokens long, before long, file binary"
 _HEAD = struct.Struct("<4sBqq")
-#: A word that ends in punctuation without apostrophes, after a letter or digit.
-_ENDED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+#: Punctuation at a word's end, without apostrophes, and what it may stand after.
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27)
+_ENDED = frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class WaveletMatrix:
@@ -216,38 +216,40 @@ class WordEncoder:
         self._words: dict[bytes, bytes] = {}
         self._cores: dict[bytes, bytes] = {}
 
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; the texts' new words are learned together."""
         if len(self._words) > CACHE:
             self._words.clear()
             self._cores.clear()
-        found = list(map(self._words.get, words))
-        if new := [k for k, ids in enumerate(found) if ids is None]:
-            self._learn(list({words[k] for k in new}))
-            for k in new:
-                found[k] = self._words[words[k]]
-        return b"".join(found)
+        split = [t.split() for t in texts]
+        if new := set().union(*split).difference(self._words):
+            self._learn(list(new))
+        known = self._words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
     def _learn(self, words: list[bytes]) -> None:
-        cut = []
-        for word in words:
-            if b"<|" in word:
-                cut.append((word,))
-            else:
-                m = _ENDED.fullmatch(word := word.lower())
-                cut.append(m.groups() if m else (word,))
-        cores = list({c for parts in cut for c in parts}.difference(self._cores))
-        plain = [c for c in cores if (t := c.decode("utf-8", "replace")).isalpha() and max(t) < "\u0250"]
+        whole = b"\n".join(words)
+        lowered = whole.lower().split(b"\n")
+        heads = [w.rstrip(_MARKS) for w in lowered]
+        tails = [w[len(h) :] for w, h in zip(lowered, heads, strict=True)]
+        for k in [k for k, (h, t) in enumerate(zip(heads, tails, strict=True)) if t and h[-1:] not in _ENDED]:
+            heads[k], tails[k] = lowered[k], b""
+        if b"<|" in whole:
+            for k in [k for k, w in enumerate(words) if b"<|" in w]:
+                heads[k], tails[k] = words[k], b""
+        cores = list({*heads, *tails}.difference(self._cores))
+        plain = [c for c in cores if c.isalpha() or not c.isascii() and (t := c.decode("utf-8", "replace")).isalpha() and max(t) < "\u0250"]
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
             if len(ends) == len(plain):
-                raw = ids.tobytes()
-                self._cores.update(zip(plain, (raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+                raw, ends = ids.tobytes(), ends.tolist()
+                self._cores.update(zip(plain, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
         rest = [c for c in cores if c not in self._cores]
         coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
         self._cores.update(zip(rest, (np.array(c.ids, dtype=self.dtype).tobytes() for c in coded), strict=True))
-        self._words.update(zip(words, (b"".join(map(self._cores.__getitem__, parts)) for parts in cut), strict=True))
+        known = self._cores.__getitem__
+        self._words.update(zip(words, map(bytes.__add__, map(known, heads), map(known, tails)), strict=True))
 
 
 @cache
@@ -273,8 +275,8 @@ def write_tokens(docs: DataFrame, path: str, out: str, shard: int = SHARD) -> No
 
         for batch in batches:
             for piece in slices(batch):
-                for doc, text in zip(piece.column("doc_id").to_pylist(), as_bytes(piece.column("text")), strict=True):
-                    coded.append(coder.encode(text) + end)
+                for doc, found in zip(piece.column("doc_id").to_pylist(), coder.encode(as_bytes(piece.column("text"))), strict=True):
+                    coded.append(found + end)
                     ids.append(doc)
                     lengths.append(len(coded[-1]) // coder.dtype.itemsize)
                     n += lengths[-1]
