@@ -15,13 +15,25 @@ from tidelog.operators.running import SPAN, last_known
 
 MIN_LENGTH = 20
 _INSTANT = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(?:\.(\d{1,9}))?(Z|[+-]\d{2}:?\d{2}|(?=[ \t]))"
+#: Between groups that one match has found; no line has it in front of an instant.
+_SEPARATOR = "\x01\x02\x01"
 _CRI = r"(?s)^\S+[ \t](stdout|stderr)[ \t]([PF])(?:[ \t](.*))?$"
 
 
-def _nanos(text: Column, compat_tz: bool) -> Column:
-    part = lambda k: F.regexp_extract(text, _INSTANT, k)
-    base = part(1).try_cast("timestamp_ntz")
-    offset = F.regexp_replace(part(3), ":", "")
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The first ``n`` groups of a pattern that takes the whole text, by one match; else one part."""
+    joined = F.regexp_replace(text, pattern, _SEPARATOR.join(f"${k}" for k in range(1, n + 1)))
+    return F.split(joined, _SEPARATOR, n)
+
+
+def _instant_parts(text: Column) -> Column:
+    return _groups(F.substring(text, 1, 64), f"(?s){_INSTANT}.*", 3)
+
+
+def _nanos(parts: Column, compat_tz: bool) -> Column:
+    part = lambda k: F.get(parts, F.lit(k - 1))
+    base = F.when(F.size(parts) == 3, part(1)).try_cast("timestamp_ntz")
+    offset = F.replace(part(3), F.lit(":"), F.lit(""))
     sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
     tens, units = (F.substring(offset, k, 1).cast("int") for k in (2, 3))
     minute_tens, minute_units = (F.substring(offset, k, 1).cast("int") for k in (4, 5))
@@ -30,17 +42,21 @@ def _nanos(text: Column, compat_tz: bool) -> Column:
     else:
         shift = sign * (tens * 600 + units * 60 + minute_tens * 10 + minute_units)
     shift = F.when(F.length(offset) == 5, shift).otherwise(0).cast("long")
-    fraction = F.rpad(part(2), 9, "0").cast("long")
+    fraction = F.when(base.isNotNull(), F.rpad(part(2), 9, "0")).cast("long")
     return (to_micros(base) - shift * 60_000_000) * 1000 + fraction
 
 
 def text_nanos(line: Column, compat_tz: bool = False) -> Column:
     """Epoch nanoseconds of a text line's instant; null if it has none or is under 20 bytes."""
-    return F.when(F.octet_length(line) >= MIN_LENGTH, _nanos(line, compat_tz))
+    return F.when(F.octet_length(line) >= MIN_LENGTH, _nanos(_instant_parts(line), compat_tz))
 
 
 def json_nanos(line: Column) -> Column:
-    return _nanos(F.regexp_extract(line, r'"time":"(.+?)"', 1), False)
+    return _nanos(_instant_parts(_json_time(line)), False)
+
+
+def _json_time(line: Column) -> Column:
+    return F.regexp_extract(line, r'"time":"(.+?)"', 1)
 
 
 def nanos_to_ts(ns: Column) -> Column:
@@ -96,17 +112,28 @@ def inherit_instants(lines: DataFrame, by: list[str], order: str = "offset", spa
 
 
 def parse_lines(lines: DataFrame, fmt: str = "text", compat: bool = False) -> DataFrame:
-    """Adds ts_ns, ts, stream, tag and message to raw lines with a source_type; drops the rest."""
-    line = F.col("line")
-    ns = json_nanos(line) if fmt == "json" else text_nanos(line, compat)
-    standard = F.col("source_type") == STDSTREAM
+    """Adds ts_ns, ts, stream, tag and message to raw lines with a source_type; drops the rest.
+
+    A line is matched once against each of two patterns; what they find is generated as columns,
+    which the filters and projections above it don't match again.
+    """
+    line, standard = F.col("line"), F.col("source_type") == STDSTREAM
+    found = {"_instant": _instant_parts(_json_time(line) if fmt == "json" else line)}
+    if fmt != "json" and not compat:
+        found["_cri"] = _groups(line, _CRI, 3)
+    matched = lines.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in found.items()]))))
+    ns = _nanos(F.col("_instant"), compat and fmt != "json")
     if fmt == "json":
-        stream, tag = F.get_json_object(line, "$.stream"), F.lit(None).cast("string")
+        stream, tag, message = F.get_json_object(line, "$.stream"), F.lit(None).cast("string"), json_message(line, compat)
+    elif compat:
+        ns, stream, tag, message = F.when(F.octet_length(line) >= MIN_LENGTH, ns), stream_of(line, compat), tag_of(line, compat), text_message(line, compat)
     else:
-        stream, tag = stream_of(line, compat), tag_of(line, compat)
-    parsed = lines.withColumns(
-        {"ts_ns": ns, "stream": F.when(standard, stream), "tag": F.when(standard, tag), "message": message_of(line, F.col("source_type"), fmt, compat)}
-    )
+        ns = F.when(F.octet_length(line) >= MIN_LENGTH, ns)
+        whole = F.size("_cri") == 3
+        stream, tag, message = (F.when(whole, F.get("_cri", F.lit(k))) for k in range(3))
+    parsed = matched.withColumns(
+        {"ts_ns": ns, "stream": F.when(standard, stream), "tag": F.when(standard, tag), "message": F.when(standard, message).otherwise(line)}
+    ).drop(*found)
     parsed = parsed.where(F.col("ts_ns").isNotNull() & F.col("message").isNotNull())
     return parsed.withColumn("ts", nanos_to_ts(F.col("ts_ns"))).withColumn("msg_bytes", F.octet_length("message").cast("long"))
 
