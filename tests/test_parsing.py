@@ -25,6 +25,29 @@ def test_instants_in_every_spelling(spark):
     assert [r["got"] for r in got] == [r["expected"] for r in got]
 
 
+@pytest.mark.parametrize(("name", "readings"), [("parse_offsets", 1), ("file_admission", 1), ("open_blocks", 2)])
+def test_each_reading_of_lines_matches_once(spark, sf, name, readings):
+    from tidelog import queries as logs
+
+    plan = logs.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\d{4}-") == readings
+
+
+def test_instants_as_a_column(spark):
+    texts = ["2031-11-05T03:07:09.5-03:30 text", "2031-11-05T03:07:09Z\ttext", "2031-11-05T03:07:09Z", "2031-11-05T03:07Z and more", "2031-17-05T03:07:09Z text", "", None]
+    rows = [(t, None if t is None else f'{{"log":"x","time":"{t.split(" ")[0]}"}}') for t in texts]
+    df = spark.createDataFrame(rows, "line string, json string")
+    for found, as_column in (
+        (parsing.with_nanos(df), parsing.text_nanos(F.col("line"))),
+        (parsing.with_nanos(df, compat_tz=True), parsing.text_nanos(F.col("line"), compat_tz=True)),
+        (parsing.with_nanos(df, line="json", fmt="json"), parsing.json_nanos(F.col("json"))),
+    ):
+        assert found.columns == ["line", "json", "ts_ns"]
+        got = [tuple(r) for r in found.select("ts_ns", as_column).collect()]
+        assert len(got) == len(texts) and all(a == b for a, b in got) and got[0][0] is not None and got[-1][0] is None
+    assert parsing.with_nanos(df).where("ts_ns IS NOT NULL").count() == 3
+
+
 def test_compatible_zone_signs(spark):
     df = spark.createDataFrame([("2031-11-05T12:00:00+04:30 text",), ("2031-11-05T12:00:00+06:00 text",)], "line string")
     got = [r[0] for r in df.select(rfc3339(parsing.text_nanos(F.col("line"), compat_tz=True))).collect()]

@@ -46,13 +46,27 @@ def _nanos(parts: Column, compat_tz: bool) -> Column:
     return (to_micros(base) - shift * 60_000_000) * 1000 + fraction
 
 
+def _match_once(text: Column, compat_tz: bool) -> Column:
+    """The match is a lambda's argument, so that each use of its parts doesn't match again."""
+    return F.get(F.transform(F.array(_instant_parts(text)), lambda parts: _nanos(parts, compat_tz)), F.lit(0))
+
+
 def text_nanos(line: Column, compat_tz: bool = False) -> Column:
     """Epoch nanoseconds of a text line's instant; null if it has none or is under 20 bytes."""
-    return F.when(F.octet_length(line) >= MIN_LENGTH, _nanos(_instant_parts(line), compat_tz))
+    return F.when(F.octet_length(line) >= MIN_LENGTH, _match_once(line, compat_tz))
 
 
 def json_nanos(line: Column) -> Column:
-    return _nanos(_instant_parts(_json_time(line)), False)
+    return _match_once(_json_time(line), False)
+
+
+def with_nanos(lines: DataFrame, name: str = "ts_ns", line: str = "line", fmt: str = "text", compat_tz: bool = False) -> DataFrame:
+    """Adds ``text_nanos`` or ``json_nanos`` as a column, for whole tables: what a line's only match
+    finds is generated as a column, and the rest is compiled code."""
+    text, found = F.col(line), "_instant"
+    matched = lines.select("*", F.inline(F.array(F.struct(_instant_parts(_json_time(text) if fmt == "json" else text).alias(found)))))
+    ns = _nanos(F.col(found), compat_tz)
+    return matched.withColumn(name, ns if fmt == "json" else F.when(F.octet_length(text) >= MIN_LENGTH, ns)).drop(found)
 
 
 def _json_time(line: Column) -> Column:
@@ -141,8 +155,7 @@ def parse_lines(lines: DataFrame, fmt: str = "text", compat: bool = False) -> Da
 def first_lines_admit(lines: DataFrame, fmt: str = "text") -> DataFrame:
     """Files whose first line has a parseable instant; ``lines`` has file, offset, line."""
     first = lines.groupBy("file").agg(F.min_by("line", "offset").alias("line"))
-    ns = json_nanos(F.col("line")) if fmt == "json" else text_nanos(F.col("line"))
-    return first.where((F.octet_length("line") >= MIN_LENGTH) & ns.isNotNull()).select("file")
+    return with_nanos(first, "ts_ns", fmt=fmt).where((F.octet_length("line") >= MIN_LENGTH) & F.col("ts_ns").isNotNull()).select("file")
 
 
 def split_long(text: Column, size: int) -> Column:

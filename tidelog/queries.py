@@ -489,9 +489,10 @@ _OFFSETS = [("Z", 0), ("+09:00", 540), ("-09:00", -540), ("+0900", 540), ("+07:3
 def parse_offsets(spark, d):
     """Zones in all their spellings (PRS-02)."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    stamped = e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("stamp"), F.explode(F.array(*[F.lit(z) for z, _ in _OFFSETS])).alias("z"))
-    line = F.concat("stamp", "z", F.lit(" some text"))
-    return stamped.select("event_id", "z", to_micros(parsing.nanos_to_ts(parsing.text_nanos(line))).alias("us"))
+    stamped = e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("stamp"))
+    zoned = stamped.select("event_id", "stamp", F.explode(F.array(*[F.lit(z) for z, _ in _OFFSETS])).alias("z"))
+    lines = zoned.select("event_id", "z", F.concat("stamp", "z", F.lit(" some text")).alias("line"))
+    return parsing.with_nanos(lines).select("event_id", "z", to_micros(parsing.nanos_to_ts(F.col("ts_ns"))).alias("us"))
 
 
 @query("""SELECT chunk_key, cluster, "offset", seen AS us FROM (
@@ -572,7 +573,7 @@ def open_blocks(spark, d):
     """Statistics of open segments, up to the first line that isn't whole (SRC-17)."""
     line = F.when(F.col("offset") % 13 == 4, "no instant here, only text").when(F.col("offset") % 199 == 77, "cut").otherwise(F.col("line"))
     raw = raw_lines(spark, d).where("source_type = 'emptydir'").withColumns({"line": line, "segment": F.concat_ws("/", "pod_uid", "container", F.col("file_num").cast("string"))})
-    s = files.open_block_stats(raw.withColumn("ts", parsing.nanos_to_ts(parsing.text_nanos(F.col("line")))), at(END), "segment")
+    s = files.open_block_stats(parsing.with_nanos(raw).withColumn("ts", parsing.nanos_to_ts(F.col("ts_ns"))).drop("ts_ns"), at(END), "segment")
     return s.select("segment", F.col("line").alias("lines"), "size", _us("started_at", "started_us"), _us("ended_at", "ended_us"))
 
 
