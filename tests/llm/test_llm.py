@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import sentencepiece
@@ -268,6 +269,34 @@ def test_words_are_encoded_as_texts_are():
         assert [np.frombuffer(x, coder.dtype).tolist() for x in found] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_each_distinct_word_of_a_column_is_looked_up_once(monkeypatch):
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counting.asked += 1
+            return dict.get(self, *args)
+
+    coder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    one = lambda t: coder.tokenizer.encode(t, add_special_tokens=False).ids
+    coder._numbers = Counting()
+    for direct in (True, False):
+        assert coder._direct
+        monkeypatch.setattr(coder, "_direct", direct)
+        for texts in (["The word the WORD, " * 500, "word"], ["", " x", "y \n"], [""], [], [f"a{chr(k)}b" for k in range(1, 128)], ["A<|endoftext|>b <|ENDOFTEXT|> a<|", "AB"]):
+            ids, ends = coder.encode_column(pa.array(texts, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)] == [one(t) for t in texts]
+            if len(texts) == 2 and texts[1] == "word":
+                assert Counting.asked == 4  # the, word, "word," and nothing, after the last space
+            Counting.asked = 0
+        monkeypatch.setattr(token_files, "CACHE", 3)  # from now on words are forgotten each time
+        ids, ends = coder.encode_column(pa.array(["new words once more and the rest"]))
+        assert ids.tolist() == one("new words once more and the rest") and len(coder._numbers) == 7
+        monkeypatch.undo()
+        coder._forget()
+        coder._numbers = Counting()
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 40, n).astype(np.uint16)

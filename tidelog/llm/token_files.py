@@ -22,14 +22,16 @@ import os
 import struct
 import zlib
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, id_text, scratch_folder, slices
+from tidelog.llm.common import id_text, scratch_folder, slices
 
 #: Tokens of a shard (the document that crosses the line is its last).
 SHARD = 1 << 18
@@ -184,13 +186,14 @@ class Shard:
 
 
 class WordEncoder:
-    """The tokenizers library, asked once for each word between ASCII white space.
+    """The tokenizers library, asked once for each distinct word between ASCII white space.
 
     No pre-token of the vocabulary's pattern spans white space, so the words' ids one after
     another are the text's. Words are asked for in lower case and without punctuation at their end
     (a pre-token of its own, if it follows a letter or digit and has no apostrophe), but for those
-    that may hold a special token. Words of Latin letters only are one pre-token each and are
-    asked for together: an id that ends a pre-token ends a word.
+    that may hold a special token. Words of Latin letters only are one pre-token each: the model
+    itself is asked for those of a to z, and others are asked for together, as an id that ends a
+    pre-token ends a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -213,19 +216,53 @@ class WordEncoder:
         self.last = np.zeros(1 << self.width, dtype=bool)
         if suffix:
             self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
-        self._words: dict[bytes, bytes] = {}
+        # Letters that the model takes as they are needn't go through the other steps.
+        self._direct = all(one(w) == self._pieces(w) for w in ("abcdefghijklmnopqrstuvwxyz", "the", "quick", "brown", "fox", "jumps", "over", "a", "lazy", "dog"))
+        self._forget()
+
+    def _pieces(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def _forget(self) -> None:
         self._cores: dict[bytes, bytes] = {}
+        self._numbers: dict[bytes, int] = {}
+        #: Ids of all words known, one after another, and where those of each number start and end.
+        self._ids, self._bounds = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text; the texts' new words are learned together."""
-        if len(self._words) > CACHE:
-            self._words.clear()
-            self._cores.clear()
-        split = [t.split() for t in texts]
-        if new := set().union(*split).difference(self._words):
-            self._learn(list(new))
-        known = self._words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        """Ids of each text."""
+        ids, ends = self.encode_column(pa.array(texts, pa.binary()).view(pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's end.
+
+        Arrow cuts the texts and numbers their distinct words, new ones are learned together, and
+        ids are put together by number: no object is made for a word that is repeated.
+        """
+        if len(self._numbers) > CACHE:
+            self._forget()
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        if not len(coded):
+            return self._ids[:0], np.zeros(len(texts), np.int64)
+        # As one value and cut again, since objects made one by one take most of the time.
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), "\n")[0].as_buffer().to_pybytes().split(b"\n")
+        known = np.fromiter(map(self._numbers.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(known < 0)):
+            known[new] = np.arange(len(self._numbers), len(self._numbers) + len(new))
+            self._learn([words[k] for k in new.tolist()])
+        numbers = known[coded.indices.to_numpy()]
+        starts, lengths = self._bounds[numbers], self._bounds[numbers + 1] - self._bounds[numbers]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        ids = self._ids[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)]
+        return ids, ends[np.cumsum(pc.list_value_length(split).to_numpy())]
+
+    def _keep(self, cores: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, ends = ids.tobytes(), (ends * self.dtype.itemsize).tolist()
+        self._cores.update(zip(cores, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
     def _learn(self, words: list[bytes]) -> None:
         whole = b"\n".join(words)
@@ -237,19 +274,27 @@ class WordEncoder:
         if b"<|" in whole:
             for k in [k for k, w in enumerate(words) if b"<|" in w]:
                 heads[k], tails[k] = words[k], b""
-        cores = list({*heads, *tails}.difference(self._cores))
+        cores = {*heads, *tails}.difference(self._cores)
+        if self._direct:
+            letters = [c for c in cores if c.isalpha()]
+            pieces = [self._pieces(c.decode()) for c in letters]
+            self._keep(letters, np.fromiter(chain.from_iterable(pieces), self.dtype), np.cumsum(list(map(len, pieces)), dtype=np.int64))
+            cores = cores.difference(letters)
         plain = [c for c in cores if c.isalpha() or not c.isascii() and (t := c.decode("utf-8", "replace")).isalpha() and max(t) < "\u0250"]
         if plain:
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(plain):
-                raw, ends = ids.tobytes(), ends.tolist()
-                self._cores.update(zip(plain, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+                self._keep(plain, ids, ends)
         rest = [c for c in cores if c not in self._cores]
         coded = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)
         self._cores.update(zip(rest, (np.array(c.ids, dtype=self.dtype).tobytes() for c in coded), strict=True))
         known = self._cores.__getitem__
-        self._words.update(zip(words, map(bytes.__add__, map(known, heads), map(known, tails)), strict=True))
+        found = list(map(bytes.__add__, map(known, heads), map(known, tails)))
+        self._numbers.update(zip(words, range(len(self._numbers), len(self._numbers) + len(words)), strict=True))
+        self._ids = np.concatenate((self._ids, np.frombuffer(b"".join(found), self.dtype)))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        self._bounds = np.concatenate((self._bounds, self._bounds[-1] + np.cumsum(lengths)))
 
 
 @cache
@@ -263,11 +308,11 @@ def write_tokens(docs: DataFrame, path: str, out: str, shard: int = SHARD) -> No
 
     def build(batches):
         coder, part, seq = word_encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([END], dtype=coder.dtype).tobytes()
+        end = np.array([END], dtype=coder.dtype)
         ids, lengths, coded, n, before = [], [], [], 0, 0
 
         def close():
-            tokens = WaveletMatrix.build(np.frombuffer(b"".join(coded), coder.dtype), coder.width)
+            tokens = WaveletMatrix.build(np.concatenate(coded), coder.width)
             made = Shard(ids, np.array(lengths, dtype=np.int64), tokens)
             columns = [[part], [seq], [len(ids)], [n], [before], [made.to_bytes()]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -275,11 +320,13 @@ def write_tokens(docs: DataFrame, path: str, out: str, shard: int = SHARD) -> No
 
         for batch in batches:
             for piece in slices(batch):
-                for doc, found in zip(piece.column("doc_id").to_pylist(), coder.encode(as_bytes(piece.column("text"))), strict=True):
-                    coded.append(found + end)
+                found, ends = coder.encode_column(piece.column("text"))
+                start = 0
+                for doc, stop in zip(piece.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                    coded += [found[start:stop], end]
                     ids.append(doc)
-                    lengths.append(len(coded[-1]) // coder.dtype.itemsize)
-                    n += lengths[-1]
+                    lengths.append(stop - start + 1)
+                    start, n = stop, n + lengths[-1]
                     if n >= shard:
                         yield close()
                         ids, lengths, coded, n, seq, before = [], [], [], 0, seq + 1, before + n
